@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from ledgerflow.llm.mixing import OP3_SQL, op3
+from ledgerflow.llm.near_dedup import op2
 from ledgerflow.llm.sharding import op7
+from ledgerflow.llm.tiff import op1
 
 QUERIES = {
+    "op1_tiff_pages": op1,
+    "op2_minmax_dedup": op2,
     "op3_source_mixing": op3,
     "op7_slot_sharding": op7,
 }
