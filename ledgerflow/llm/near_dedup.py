@@ -6,9 +6,9 @@ the full shingle sets confirm it.
 
 Work is done on distinct texts. In a bucket, every text is compared with one pivot, the text whose buckets are
 the fullest (copies of a common original meet in the original's buckets). The links found are contracted into
-components; buckets that then still hold several components are gone through again, texts of different
-components against each other, so that no link between components is lost and a group of many copies never
-becomes all its pairs.
+components. Texts in buckets that then still hold several components are gone through again with an exact prefix
+filter on their shingles, texts of different components only, so that no link between components is lost and a
+group of many copies never becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.graph import connected_components
@@ -28,9 +28,6 @@ from ledgerflow.session import materialize
 HASHES = 48
 #: Values per band: 24 bands of 4 miss a pair of similarity 0.8 once in 300,000.
 ROWS = 4
-#: A pair with fewer equal values than this is not confirmed in the second round: at similarity 0.8, 77 of 96 are
-#: equal on average and fewer than 48 once in 10^10.
-LEAST_EQUAL = 48
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 #: Entries kept of the word hashes before they are forgotten.
 _WORDS_KEPT = 1 << 18
@@ -63,7 +60,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, n)
     span = min(words, n)
-    total = np.full(n - span + 1, np.uint64(span) * _MIX[4], np.uint64)
+    total = np.full(n - span + 1, span * int(_MIX[4]) % (1 << 64), np.uint64)
     for i in range(span):
         total = _stir(total + h[i : n - span + 1 + i]) * _MIX[i % 3]
     return np.unique(_stir(total))
@@ -116,9 +113,8 @@ def _signer(words: int, hashes: int, rows: int):
                         part.column("key"),
                         pa.array(sizes, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, per * part.num_rows + 1, per), pa.int32()), pa.array(keys.reshape(-1))),
-                        pa.array([x.tobytes() for x in signatures], pa.binary()),
                     ],
-                    names=["id", "key", "n", "bands", "signature"],
+                    names=["id", "key", "n", "bands"],
                 )
 
     return sign
@@ -145,14 +141,39 @@ def _verifier(words: int, percent: int):
     return verify
 
 
-def _equal_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with enough equal signature values."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("s", "t"))
-        keep = (x == y).sum(axis=1) >= LEAST_EQUAL * x.shape[1] // (2 * HASHES)
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
+def _tokens(words: int):
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, head, text in zip(*(batch.column(c) for c in ("doc", "head", "text")), strict=True):
+                s = shingle_set(text.as_py(), words).view(np.int64)
+                own = [pa.array(np.full(len(s), x.as_py(), np.int64)) for x in (doc, head)]
+                yield pa.RecordBatch.from_arrays([pa.array(s), *own, pa.array(np.full(len(s), len(s), np.int64))], names=["token", "doc", "head", "n"])
+
+    return tokens
+
+
+def _across(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of (doc, head, text) rows with different heads that may be links; every link is among them.
+
+    A link needs at least p = percent / 100 of either document's shingles in common. Only shingles seen under
+    several heads can be; documents with too few of them are out, which is decided twice as fewer remain. The rest
+    meet in the rarest of these shingles, as many as leave less than the needed number (prefix filter), and their
+    sizes n, m and common shingles r must allow the link: 100 * r >= percent * (n + m - r) for both.
+    """
+    p = percent
+    rows = materialize(docs.mapInArrow(_tokens(words), "token long, doc long, head long, n long"), "minmax-tokens")
+    for step in ("a", "b"):
+        shared = rows.groupBy("token").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
+        common = materialize(rows.select("token", "doc", "head", "n").join(materialize(shared, "minmax-shared-" + step), "token"), "minmax-common-" + step)
+        able = materialize(common.groupBy("doc").agg(F.count("*").alias("r"), F.max("n").alias("m")).where(f"100 * r >= {p} * m").select("doc", "r"), "minmax-able-" + step)
+        rows = materialize(common.join(able, "doc"), "minmax-rows-" + step)
+    rarest = Window.partitionBy("doc").orderBy("df", "token")
+    prefix = materialize(
+        rows.withColumn("at", F.row_number().over(rarest)).where(f"at <= r - ceil({p} * n / 100) + 1").select("token", "doc", "head", "n", "r"), "minmax-prefix"
+    )
+    fits = f"100 * x.r >= {p} * (x.n + y.n - x.r) AND 100 * y.r >= {p} * (x.n + y.n - y.r) AND 100 * x.n >= {p} * y.n AND 100 * y.n >= {p} * x.n"
+    met = prefix.alias("x").join(prefix.alias("y"), "token").where(f"x.head < y.head AND {fits}")
+    return met.select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y")).distinct()
 
 
 def text_key(text):
@@ -169,9 +190,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     doc_id is never the smallest unless all are null, and is not kept beside others; an empty table gives none.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", text_key(F.col("text")))
-    signed = materialize(base.mapInArrow(_signer(words, hashes, rows), "id long, key binary, n long, bands array<long>, signature binary"), "minmax-signed")
+    signed = materialize(base.mapInArrow(_signer(words, hashes, rows), "id long, key binary, n long, bands array<long>"), "minmax-signed")
     texts = materialize(
-        signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "minmax-texts"
+        signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"), F.first("bands").alias("bands")), "minmax-texts"
     )
     rows_of = texts.select("key", F.explode("bands").alias("band"))
     buckets = materialize(rows_of.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "minmax-buckets")
@@ -198,22 +219,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     placed = materialize(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part")), "minmax-placed")
     open_ = placed.groupBy("band").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("band")
     still = materialize(placed.join(materialize(open_, "minmax-open"), "band"), "minmax-still")
-    across = (
-        still.alias("x")
-        .join(still.alias("y"), "band")
-        .where("x.part < y.part")
-        .select(F.col("x.key").alias("u"), F.col("y.key").alias("v"))
-        .distinct()
-    )
-    known = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    fresh = across.join(known, ["u", "v"], "left_anti")
-    signs = texts.select("key", "signature")
-    likely = (
-        fresh.join(signs.select(F.col("key").alias("u"), F.col("signature").alias("s")), "u")
-        .join(signs.select(F.col("key").alias("v"), F.col("signature").alias("t")), "v")
-        .mapInArrow(_equal_values, "u binary, v binary")
-    )
-    more = confirmed(materialize(likely, "minmax-likely"), "minmax-more")
+    residual = still.select("key", "part").distinct().withColumn("doc", F.monotonically_increasing_id())
+    residual = materialize(residual, "minmax-residual")
+    heads = materialize(residual.groupBy("part").agg(F.min("doc").alias("head")), "minmax-heads")
+    residual = materialize(residual.join(heads, "part").select("key", "doc", "head"), "minmax-headed")
+    likely = _across(held.join(residual, "key"), words, percent)
+    ends = residual.select("doc", "key")
+    named_pairs = likely.join(ends.select(F.col("doc").alias("x"), F.col("key").alias("u")), "x").join(ends.select(F.col("doc").alias("y"), F.col("key").alias("v")), "y")
+    more = confirmed(materialize(named_pairs.select("u", "v"), "minmax-likely"), "minmax-more")
     parts = found
     if not more.isEmpty():
         parts = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "u", "v")

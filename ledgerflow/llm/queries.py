@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerflow.llm.bpe import op4
 from ledgerflow.llm.mixing import OP3_SQL, op3
 from ledgerflow.llm.near_dedup import op2
 from ledgerflow.llm.sharding import op7
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_tiff_pages": op1,
     "op2_minmax_dedup": op2,
     "op3_source_mixing": op3,
+    "op4_bpe_round_trip": op4,
     "op7_slot_sharding": op7,
 }
 
