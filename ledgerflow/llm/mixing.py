@@ -61,8 +61,8 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     return ranked.select("source", "source_size", share.otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str = "weight", **rule) -> DataFrame:
-    """Add source_size, target and taken to ``docs`` (extra columns stay; these three must not exist yet).
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weight_col: str = "weight", out: tuple[str, str, str] = ("source_size", "target", "taken"), **rule) -> DataFrame:
+    """Add source_size, target and taken, named by ``out``, to ``docs`` (extra columns stay; those three must not exist yet).
 
     Defined results: null sizes count as 0; a document of size 0 takes 0; null ids share one key and are ordered by size;
     rows alike in id and size are interchangeable; a null source is a source, the last; an empty table gives none.
@@ -84,16 +84,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     offsets = ranges.withColumn(p + "before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
     plan = (
         offsets.join(goals, F.col(p + "source").eqNullSafe(F.col(p + "goal")))
-        .select(F.col(p + "source").alias(p + "s"), F.col(p + "range").alias(p + "r"), p + "before", "source_size", "target")
-        .withColumn(p + "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-        .withColumn(p + "rest", F.col("target") - F.col(p + "epochs") * F.col("source_size"))
+        .select(F.col(p + "source").alias(p + "s"), F.col(p + "range").alias(p + "r"), p + "before", F.col("source_size").alias(p + "all"), F.col("target").alias(p + "target"))
+        .withColumn(p + "epochs", F.when(F.col(p + "all") > 0, F.floor(F.col(p + "target") / F.col(p + "all"))).otherwise(F.lit(0)))
+        .withColumn(p + "rest", F.col(p + "target") - F.col(p + "epochs") * F.col(p + "all"))
     )
     here = Window.partitionBy(p + "source", p + "range").orderBy(p + "key", F.col(id_col), p + "size").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.col(p + "epochs") * F.col(p + "size") + F.when(
         F.col(p + "before") + F.coalesce(F.sum(p + "size").over(here), F.lit(0)) + F.col(p + "size") / 2 <= F.col(p + "rest"), F.col(p + "size")
     ).otherwise(F.lit(0))
     joined = rows.join(plan, F.col(p + "source").eqNullSafe(F.col(p + "s")) & (F.col(p + "range") == F.col(p + "r")))
-    return joined.withColumn("taken", taken.cast("long")).select(*[docs[c] for c in docs.columns], "source_size", "target", "taken")
+    named = zip((p + "all", p + "target", p + "taken"), out, strict=True)
+    return joined.withColumn(p + "taken", taken.cast("long")).select(*docs.columns, *[F.col(a).alias(b) for a, b in named])
 
 
 def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
