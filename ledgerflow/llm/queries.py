@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerflow.llm.bpe import op4
 from ledgerflow.llm.language import op9
+from ledgerflow.llm.licences import op6
 from ledgerflow.llm.mixing import OP3_SQL, op3
 from ledgerflow.llm.near_dedup import op2
 from ledgerflow.llm.neighbours import op8
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_source_mixing": op3,
     "op4_bpe_round_trip": op4,
     "op5_token_counts": op5,
+    "op6_licence_scan": op6,
     "op7_slot_sharding": op7,
     "op8_curve_neighbours": op8,
     "op9_language": op9,
