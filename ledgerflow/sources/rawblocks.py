@@ -1,0 +1,93 @@
+"""Serialized blocks to inputs, and the scan that tells which targets the chain has revealed."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerflow.functions.reveal import revealed_hashes
+
+INPUTS = "height int, tx_index int, in_index int, script_sig binary, witness array<binary>"
+
+
+class _Reader:
+    def __init__(self, data: bytes, at: int = 0) -> None:
+        self.data, self.at = data, at
+
+    def take(self, n: int) -> bytes:
+        part = self.data[self.at : self.at + n]
+        if len(part) < n:
+            raise ValueError(f"the block ends early, at byte {len(self.data)}")
+        self.at += n
+        return part
+
+    def size(self) -> int:
+        first = self.take(1)[0]
+        return first if first < 253 else int.from_bytes(self.take(1 << first - 252), "little")
+
+    def string(self) -> bytes:
+        return self.take(self.size())
+
+
+def block_inputs(raw: bytes) -> Iterator[tuple[int, int, bytes, list[bytes]]]:
+    """(tx_index, in_index, script_sig, witness) of every input but the first transaction's; bytes left over are an error."""
+    r = _Reader(raw, 80)
+    for t in range(r.size()):
+        r.take(4)
+        witnessed = raw[r.at : r.at + 2] == b"\0\1"
+        if witnessed:
+            r.take(2)
+        scripts = []
+        for _ in range(r.size()):
+            r.take(36)
+            scripts.append(r.string())
+            r.take(4)
+        for _ in range(r.size()):
+            r.take(8)
+            r.string()
+        stacks = [[r.string() for _ in range(r.size())] for _ in scripts] if witnessed else [[] for _ in scripts]
+        r.take(4)
+        if t:
+            for i, (script, stack) in enumerate(zip(scripts, stacks, strict=True)):
+                yield t, i, script, stack
+    if r.at != len(raw):
+        raise ValueError(f"the block's transactions end at byte {r.at} of {len(raw)}")
+
+
+def raw_inputs(blocks: DataFrame) -> DataFrame:
+    """Inputs of (height, raw) blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for height, raw in zip(batch.column("height"), batch.column("raw"), strict=True):
+                rows = [(height.as_py(), *x) for x in block_inputs(raw.as_py())]
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in INPUTS.split(", ")])
+
+    return blocks.select("height", "raw").mapInArrow(run, INPUTS)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(height, raw) of files named by height, with any extension."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.regexp_extract("path", r"(\d+)[^/\d]*$", 1).cast("int").alias("height"), F.col("content").alias("raw"))
+
+
+def reveal_scan(blocks: DataFrame, targets: DataFrame) -> DataFrame:
+    """(key_hash): the targets that the blocks reveal. Each task keeps matches only, then distinct ones meet."""
+    found = revealed_hashes(raw_inputs(blocks)).select("key_hash")
+    return found.join(targets.select("key_hash").distinct(), "key_hash", "left_semi").distinct()
+
+
+def range_metrics(blocks: DataFrame, size: int = 1000) -> DataFrame:
+    """(start, blocks, inputs, reveals, bytes) per range of heights, for the log of a scan."""
+    start = (F.floor(F.col("height") / size) * size).cast("int").alias("start")
+    base = blocks.groupBy(start).agg(F.count("*").alias("blocks"), F.sum(F.octet_length("raw")).alias("bytes"))
+    inputs = raw_inputs(blocks)
+    counts = inputs.groupBy(start).agg(F.count("*").alias("inputs"))
+    reveals = revealed_hashes(inputs).groupBy(start).agg(F.count("*").alias("reveals"))
+    return base.join(counts, "start", "left").join(reveals, "start", "left").fillna(0)
