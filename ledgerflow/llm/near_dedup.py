@@ -202,6 +202,11 @@ def _across(docs: DataFrame, ends: DataFrame, words: int, percent: int) -> DataF
     return met.select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y")).distinct()
 
 
+def _grows(table: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: never broadcast, so the plan is one at every size."""
+    return table.hint("merge")
+
+
 def text_key(text):
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -222,30 +227,30 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     )
     rows_of = texts.select("key", F.explode("bands").alias("band"))
     buckets = materialize(rows_of.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "minmax-buckets")
-    members = materialize(rows_of.join(buckets, "band"), "minmax-members")
+    members = materialize(rows_of.join(_grows(buckets), "band"), "minmax-members")
 
     central = materialize(members.groupBy("key").agg(F.sum("held").alias("central")), "minmax-central")
     pivots = materialize(
-        members.join(central, "key").groupBy("band").agg(F.max(F.struct("central", "key")).alias("top")).select("band", F.col("top.key").alias("v")), "minmax-pivots"
+        members.join(_grows(central), "key").groupBy("band").agg(F.max(F.struct("central", "key")).alias("top")).select("band", F.col("top.key").alias("v")), "minmax-pivots"
     )
-    pairs = materialize(members.join(pivots, "band").where("key <> v").select(F.col("key").alias("u"), "v").distinct(), "minmax-pairs")
+    pairs = materialize(members.join(_grows(pivots), "band").where("key <> v").select(F.col("key").alias("u"), "v").distinct(), "minmax-pairs")
     needed = materialize(texts.join(members.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("k"), F.col("least_id").alias("i")), "minmax-needed")
     held = materialize(
-        base.join(needed, (base.key == needed.k) & base.id.eqNullSafe(needed.i)).groupBy("key", "id").agg(F.first("text").alias("text")).select("key", "text"),
+        base.join(_grows(needed), (base.key == needed.k) & base.id.eqNullSafe(needed.i)).groupBy("key", "id").agg(F.first("text").alias("text")).select("key", "text"),
         "minmax-held",
     )
 
     def confirmed(these: DataFrame, tag: str) -> DataFrame:
-        sides = these.join(held.select(F.col("key").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
+        sides = these.join(_grows(held.select(F.col("key").alias("u"), F.col("text").alias("a"))), "u").join(_grows(held.select(F.col("key").alias("v"), F.col("text").alias("b"))), "v")
         return materialize(sides.mapInArrow(_verifier(words, percent), "u binary, v binary"), tag)
 
     links = confirmed(pairs, "minmax-links")
     found = connected_components(links, "u", "v")
     # buckets that still hold several components
-    placed = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "held", "key", F.coalesce("component", "key").alias("part"))
+    placed = members.join(_grows(found.withColumnRenamed("node", "key")), "key", "left").select("band", "held", "key", F.coalesce("component", "key").alias("part"))
     placed = materialize(placed, "minmax-placed")
     open_ = placed.groupBy("band").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("band")
-    still = materialize(placed.join(materialize(open_, "minmax-open"), "band"), "minmax-still")
+    still = materialize(placed.join(_grows(materialize(open_, "minmax-open")), "band"), "minmax-still")
     small = still.where(F.col("held") <= SMALL_BUCKET).join(texts.select("key", "n", *SKETCH), "key")
     fits = f"x.part < y.part AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n AND {_alike('x', 'y')}"
     few = small.alias("x").join(small.alias("y"), "band").where(fits).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct()
@@ -265,7 +270,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     whole = texts.select("key", "least_id").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = materialize(whole.join(materialize(names, "minmax-names"), "component").select("key", "component_id", "component"), "minmax-named")
-    out = signed.select("id", "key", "n").join(named, "key", "left")
+    out = signed.select("id", "key", "n").join(_grows(named), "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"),
