@@ -56,7 +56,7 @@ class Counter:
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as file:
             self.by_units = cuts_at_spaces(json.load(file))
-        self.units: dict[str, int] = {}
+        self.units: dict[bytes, int] = {}
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -80,7 +80,7 @@ class Counter:
         fresh = list({u for units in split for u in units if u not in self.units})
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for unit, found in zip(part, self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False), strict=True):
                 self.units[unit] = len(found.ids)
         of = self.units.__getitem__
         for i, units in zip(small, split, strict=True):
@@ -90,28 +90,22 @@ class Counter:
     def spliced(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
         """Tokens of a huge text: a chunk at a time, each spliced to what follows it."""
         total, start, skip = 0, 0, 0  # tokens of text[start:] before the offset skip are counted already
-        while True:
-            left = self._encoded(text, start, start + chunk)
-            if start + chunk >= len(text):
-                return total + int((left[1] >= skip).sum())
-            width = overlap
-            while True:
-                stop = min(start + chunk, len(text))
-                begin = max(start, stop - width)
+        left = self._encoded(text, start, start + chunk)
+        while start + chunk < len(text):
+            stop, width = start + chunk, overlap
+            while width < chunk:
+                begin = stop - width
                 right = self._encoded(text, begin, begin + chunk)
-                cut = _common_boundary(text, left, right, begin, stop, skip) if begin > start else None
+                cut = _common_boundary(text, left, right, begin, stop, skip)
                 if cut is not None:
                     total += int(((left[1] >= skip) & (left[1] < cut)).sum())
-                    start, skip = begin, cut
+                    start, skip, left = begin, cut, right
                     break
-                if begin <= start:  # the overlap is the whole chunk: make the chunk longer
-                    chunk *= 2
-                    left = self._encoded(text, start, start + chunk)
-                    if start + chunk >= len(text):
-                        return total + int((left[1] >= skip).sum())
-                    width = overlap
-                else:
-                    width *= 2
+                width *= 2
+            else:  # no overlap holds a boundary: make the chunk longer
+                chunk *= 2
+                left = self._encoded(text, start, start + chunk)
+        return total + int((left[1] >= skip).sum())
 
     def _encoded(self, text: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and ends of the tokens of text[begin:end], as offsets in the text."""
@@ -137,12 +131,9 @@ def _common_boundary(text: str, left, right, begin: int, stop: int, skip: int) -
     return None
 
 
-def _units(text: str) -> list[str]:
-    """Parts between ASCII white space."""
-    return text.translate(_SPACES).split(" ")
-
-
-_SPACES = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+def _units(text: str) -> list[bytes]:
+    """Parts between ASCII white space, in UTF-8."""
+    return text.encode("utf-8", "replace").split()
 
 
 @lru_cache(maxsize=2)
