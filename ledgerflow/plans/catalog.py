@@ -194,7 +194,7 @@ def level_stats(spark, d):
 
 def seed_summary(spark, d):
     found, _, _ = _trace1(spark, d)
-    return T.seed_summaries(found).select("address", "spending_txs", "spent", "returned", "net_out", "first_spend_height", "last_spend_height")
+    return T.seed_summaries(found).fillna(-1, ["first_spend_height", "last_spend_height"]).select("address", "spending_txs", "spent", "returned", "net_out", "first_spend_height", "last_spend_height")
 
 
 def cluster_summary(spark, d):
@@ -231,7 +231,7 @@ def full_trace(spark, d):
 
 
 def exposure_status(spark, d):
-    return _expo(spark, d).select("address", "script_type", "sats", "utxos", "oldest_height", "status", "exposed", "first_txid", "first_height", "sdn_ref")
+    return _expo(spark, d).fillna(-1, ["oldest_height", "first_height"]).select("address", "script_type", "sats", "utxos", "oldest_height", "status", "exposed", "first_txid", "first_height", "sdn_ref")
 
 
 QUERIES = {
@@ -248,7 +248,7 @@ QUERIES = {
     "revealed_by_type": lambda s, d: U.revealed_by_type(_marked(s, d)),
     "revealed_bins": lambda s, d: U.revealed_bins(_marked(s, d)),
     "yearly_exposure": yearly_exposure,
-    "address_balance": lambda s, d: X.balances(V.addresses(s, d), V.utxo(s, d)).select("address", "sats", "utxos", "oldest_height"),
+    "address_balance": lambda s, d: X.balances(V.addresses(s, d), V.utxo(s, d)).fillna(-1, ["oldest_height"]).select("address", "sats", "utxos", "oldest_height"),
     "first_spend": lambda s, d: X.first_spends(V.ledger(s, d), V.addresses(s, d)).select("address", "first_height", "first_txid"),
     "exposure_status": exposure_status,
     "exposure_totals": lambda s, d: X.exposure_totals(_expo(s, d)).withColumnRenamed("exposed", "exposed_sats"),
@@ -325,13 +325,13 @@ FROM (SELECT *, (bin + 1) * 100 <= tip - 365 AS old FROM (SELECT *, max(height)
         SCRIPT_SQL,
     ),
     "address_balance": _w(
-        "SELECT h.address, coalesce(s, 0) AS sats, coalesce(k, 0) AS utxos, oldest_height FROM hashed h LEFT JOIN (SELECT script, CAST(sum(sats) AS BIGINT) AS s, count(*) AS k, min(height) AS oldest_height FROM coin GROUP BY 1) c USING (script) WHERE p_partkey IN (SELECT p_partkey FROM part)",
+        "SELECT h.address, coalesce(s, 0) AS sats, coalesce(k, 0) AS utxos, coalesce(oldest_height, -1) AS oldest_height FROM hashed h LEFT JOIN (SELECT script, CAST(sum(sats) AS BIGINT) AS s, count(*) AS k, min(height) AS oldest_height FROM coin GROUP BY 1) c USING (script) WHERE p_partkey IN (SELECT p_partkey FROM part)",
         SCRIPT_SQL,
     ),
     "first_spend": _w(
         "SELECT address, min(height) AS first_height, arg_min(txid, height * 2147483648 + tx_index) AS first_txid FROM tx_in JOIN tx USING (txid) WHERE address IN (SELECT 'P' || p_partkey FROM part) GROUP BY 1", LEDGER_SQL
     ),
-    "exposure_status": EXPOSURE_SQL + "SELECT address, script_type, sats, utxos, oldest_height, status, exposed, first_txid, first_height, sdn_ref FROM expo2",
+    "exposure_status": EXPOSURE_SQL + "SELECT address, script_type, sats, utxos, coalesce(oldest_height, -1) AS oldest_height, status, exposed, first_txid, coalesce(first_height, -1) AS first_height, sdn_ref FROM expo2",
     "exposure_totals": EXPOSURE_SQL + f"SELECT {SUMS_SQL} FROM expo2",
     "exposure_by_type": EXPOSURE_SQL + f"SELECT script_type, {SUMS_SQL} FROM expo2 GROUP BY 1",
     "exposure_by_entry": EXPOSURE_SQL + f"SELECT sdn_ref, {SUMS_SQL}, min(sdn_name) AS sdn_name FROM expo2 GROUP BY 1",
@@ -356,7 +356,7 @@ UNION ALL SELECT 2, (SELECT count(*) FROM r1), (SELECT min(reached) FROM r1), (S
     + """, act AS (SELECT s.address, i.txid, height, height * 2147483648 + tx_index AS ord, (SELECT sum(sats) FROM tx_in x WHERE x.txid = i.txid AND x.address = s.address) AS sats,
   coalesce((SELECT sum(sats) FROM tx_out x WHERE x.txid = i.txid AND x.address = s.address), 0) AS back FROM (SELECT DISTINCT address FROM seed) s JOIN info i ON list_contains(spenders, s.address))
 SELECT s.address, count(txid) AS spending_txs, CAST(coalesce(sum(sats), 0) AS BIGINT) AS spent, CAST(coalesce(sum(back), 0) AS BIGINT) AS returned, CAST(coalesce(sum(sats - back), 0) AS BIGINT) AS net_out,
-  arg_min(height, ord) AS first_spend_height, arg_max(height, ord) AS last_spend_height FROM (SELECT DISTINCT address FROM seed) s LEFT JOIN act USING (address) GROUP BY 1""",
+  coalesce(arg_min(height, ord), -1) AS first_spend_height, coalesce(arg_max(height, ord), -1) AS last_spend_height FROM (SELECT DISTINCT address FROM seed) s LEFT JOIN act USING (address) GROUP BY 1""",
     "cluster_summary": TRACE_SQL
     + """, cs AS (SELECT root, count(*) AS k FROM core_ GROUP BY 1), m AS (SELECT f.root, f.address, coalesce(k, 1) AS k, f.address IN (SELECT address FROM seed) AS is_seed FROM full_ f LEFT JOIN core_ c USING (address) LEFT JOIN cs ON cs.root = c.root)
 SELECT root AS "full", count(*) AS addresses, count(*) FILTER (is_seed) AS seeds, coalesce(max(k) FILTER (is_seed), max(k)) AS size_without_batch_sweeps FROM m GROUP BY 1 HAVING count(*) > 1 OR bool_or(is_seed)""",
