@@ -254,7 +254,7 @@ QUERIES = {
     "exposure_totals": lambda s, d: X.exposure_totals(_expo(s, d)).withColumnRenamed("exposed", "exposed_sats"),
     "exposure_by_type": lambda s, d: X.exposure_by_type(_expo(s, d)).withColumnRenamed("exposed", "exposed_sats"),
     "exposure_by_entry": lambda s, d: X.exposure_by_entry(_expo(s, d)).withColumnRenamed("exposed", "exposed_sats"),
-    "common_input_clusters": lambda s, d: C.common_input_clusters(_sparse(V.ledger(s, d))),
+    "common_input_clusters": lambda s, d: C.common_input_clusters(V.ledger(s, d)),
     "spends_from_frontier": spends_from_frontier,
     "level_stats": level_stats,
     "hops_depth1": hops(1),
@@ -269,12 +269,6 @@ QUERIES = {
 }
 
 
-def _sparse(ledger: L.Ledger, keep: int = 20) -> L.Ledger:
-    """Every ``keep``-th transaction's inputs: all of them make one component."""
-    some = ledger.tx.where(F.col("tx_index") % keep == 0)
-    return L.Ledger(some, ledger.tx_in.join(some.select("txid"), "txid", "left_semi"), ledger.tx_out)
-
-
 def _w(sql: str, *parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + sql
 

@@ -2,12 +2,14 @@
 
 import json
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 from chain import seeds, tx
 
 import __spark_entry__ as entry
+from ledgerflow.plans import catalog
 from ledgerflow.streaming import increment
 
 DATA = os.environ.get("LEDGERFLOW_DATA", "/root/testdata/sf0.001")
@@ -51,3 +53,24 @@ def test_stream_of_blocks(spark, tmp_path):
     windows = increment.spent_by_window(spends).writeStream.outputMode("update").format("memory").queryName("windows").trigger(availableNow=True).start()
     windows.awaitTermination()
     assert spark.table("windows").agg({"inputs": "sum"}).first()[0] == 2
+
+
+def test_clusters_are_of_all_transactions(spark):
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    spends = con.sql(f"WITH {catalog.LEDGER_SQL} SELECT i.txid, address FROM tx_in i JOIN tx USING (txid) JOIN mix USING (txid) WHERE NOT is_coinbase AND NOT coinjoin").fetchall()
+    parent = {a: a for _, a in spends}
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    first = {}
+    for txid, a in spends:
+        x, y = sorted((root(a), root(first.setdefault(txid, a))))
+        parent[y] = x
+    size = Counter(map(root, parent))
+    want = sorted((a, root(a), size[root(a)]) for a in parent)
+    assert sorted(tuple(r) for r in entry.queries()["common_input_clusters"](spark, DATA).select("address", "cluster", "size").collect()) == want
