@@ -51,13 +51,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 }
 UNKNOWN = "unknown"
-#: A paragraph is looked at in windows of so many words around the words that only notices have.
+#: A template's word pairs are looked for within twice so many words.
 REACH = 24
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.75
 VARIANTS, EPOCHS, RATE, PENALTY = 60, 12, 0.5, 1e-4
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
-#: Words of notices that are too usual to look for.
-_USUAL = frozenset("a an and any are as at be by for free from has have in is it may of on or that the this to use with without you not all can work under above following charge person".split())
 _FILLER = "lorem ipsum dolor sit amet consectetur project code documentation see file details copyright author year contact page more about read section".split()
 
 
@@ -76,11 +74,6 @@ class Model:
     weights: np.ndarray
     offset: np.ndarray
 
-    @cached_property
-    def cues(self) -> frozenset[str]:
-        """Words that occur in templates and are not usual ones."""
-        return frozenset(w for w in self.vocabulary if " " not in w and w not in _USUAL and len(w) > 1)
-
     @cached_property
     def pairs(self) -> dict[str, list[frozenset[str]]]:
         return {f: [frozenset(" ".join(p) for p in zip(w, w[1:], strict=False)) for w in map(words_of, t)] for f, t in TEMPLATES.items()}
@@ -91,32 +84,80 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def overlap(self, family: str, words: list[str]) -> float:
-        """The largest share of a template's word pairs that the words have, in any order."""
-        have = {" ".join(p) for p in zip(words, words[1:], strict=False)}
-        return max(len(t & have) / len(t) for t in self.pairs[family])
+    @cached_property
+    def _templates(self) -> list[tuple[str, frozenset[str]]]:
+        return [(f, t) for f, of in self.pairs.items() for t in of]
+
+    @cached_property
+    def _holders(self) -> dict[str, list[int]]:
+        """The templates that hold a word pair, by their places in _templates."""
+        found: dict[str, list[int]] = {}
+        for k, (_, pairs) in enumerate(self._templates):
+            for p in sorted(pairs):
+                found.setdefault(p, []).append(k)
+        return found
+
+    @cached_property
+    def _every(self) -> dict[str, frozenset[str]]:
+        return {f: frozenset().union(*of) for f, of in self.pairs.items()}
+
+    def _readings(self, words: list[str]) -> list[tuple[float, float, list[int], str]]:
+        """(overlap, density, places of the template's word pairs, family) wherever enough of a template is within reach, best first."""
+        hits: dict[int, list[tuple[int, str]]] = {}
+        for i, p in enumerate(map(" ".join, zip(words, words[1:], strict=False))):
+            for k in self._holders.get(p, ()):
+                hits.setdefault(k, []).append((i, p))
+        found = []
+        for k, of in hits.items():
+            family, pairs = self._templates[k]
+            if len({p for _, p in of}) < LEAST_OVERLAP * len(pairs):
+                continue
+            for first, (start, _) in enumerate(of):
+                seen: dict[str, int] = {}
+                for j in range(first, len(of)):
+                    i, p = of[j]
+                    if i > start + 2 * REACH - 2:
+                        break
+                    seen.setdefault(p, i)
+                if len(seen) >= LEAST_OVERLAP * len(pairs):
+                    at = list(seen.values())
+                    found.append((len(seen) / len(pairs), len(at) / (at[-1] - at[0] + 1), at, family))
+        return sorted(found, key=lambda r: (-r[0], -r[1], -len(r[2]), r[2][0], r[3]))
+
+    def _notices(self, words: list[str]) -> list[tuple[int, str, float, float]]:
+        """(first word, family, probability, overlap) of the confirmed notices among the words.
+
+        A reading is classified without the words of other notices. One that shares words with a notice counts only if
+        it has a word pair of its own that the notice's family has not; so parts of a notice are not read again.
+        """
+        waiting, owner, found = self._readings(words), {}, []
+        again = True
+        while again:
+            again, later = False, []
+            for reading in waiting:
+                share, _, at, family = reading
+                own = {j for i in at for j in (i, i + 1)}
+                fresh = [words[i] + " " + words[i + 1] for i in at if i not in owner or i + 1 not in owner]
+                if not all(any(p not in self._every[f] for p in fresh) for f in {owner[i] for i in own if i in owner}):
+                    continue
+                p = self.probabilities([words[i] for i in range(at[0], at[-1] + 2) if i in own or i not in owner])
+                if self.families[int(p.argmax())] != family or p.max() < LEAST_PROBABILITY:
+                    later.append(reading)
+                    continue
+                found.append((at[0], family, float(p.max()), share))
+                for i in own:
+                    owner.setdefault(i, family)
+                again = True
+            waiting = later
+        return sorted(found)
 
     def scan(self, text: str) -> list[tuple[int, str, float, float]]:
         """(paragraph, family, probability, overlap) of the confirmed notices of a text, paragraphs being its lines."""
         found = []
         for number, line in enumerate(text.split("\n")):
             low = line.lower()
-            if not self._cue.search(low):
-                continue
-            words = _WORD.findall(low)
-            marks = [i for i, w in enumerate(words) if w in self.cues]
-            at, best = 0, {}
-            while at < len(marks):
-                begin = max(0, marks[at] - REACH // 2)
-                window = words[begin : begin + 2 * REACH]
-                p = self.probabilities(window)
-                family = self.families[int(p.argmax())]
-                if family != UNKNOWN and p.max() >= LEAST_PROBABILITY and (share := self.overlap(family, window)) >= LEAST_OVERLAP:
-                    best[family] = max(best.get(family, (0.0, 0.0)), (float(p.max()), share))
-                stop = begin + REACH  # windows overlap by half
-                while at < len(marks) and marks[at] < stop:
-                    at += 1
-            found += [(number, f, *best[f]) for f in sorted(best)]
+            if self._cue.search(low):
+                found += [(number, *n[1:]) for n in self._notices(_WORD.findall(low))]
         return found
 
     @cached_property

@@ -107,6 +107,20 @@ def test_licence_scan(spark, docs, empty):
     assert licences.scan_licences(empty, model).count() == 0
 
 
+def test_licence_notices_side_by_side(spark):
+    model = licences.train()
+    pairs = [(f, g) for f in licences.TEMPLATES for g in licences.TEMPLATES if f != g]
+    for f, g in pairs:
+        for s in licences.TEMPLATES[f]:
+            for t in licences.TEMPLATES[g]:
+                assert {h[1] for h in model.scan(s + " " + t)} == {f, g}, (s, t)
+    both = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert [h[1] for h in model.scan(both)] == ["MIT", "Apache-2.0"]
+    assert {h[1] for h in model.scan("Licensed under the Apache License, Version 2.0 or the MIT License.")} == {"MIT", "Apache-2.0"}
+    row = licences.scan_licences(spark.createDataFrame([(1, both)], "doc_id long, text string"), model).first()
+    assert (row["families"], row["n_notices"], row["first_paragraph"]) == ("Apache-2.0,MIT", 2, 0)
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 130, 5000])
 @pytest.mark.parametrize("kind", ["same", "noise", "mixed"])
 def test_codecs_round_trip(n, kind):
