@@ -152,12 +152,26 @@ class Model:
         return sorted(found)
 
     def scan(self, text: str) -> list[tuple[int, str, float, float]]:
-        """(paragraph, family, probability, overlap) of the confirmed notices of a text, paragraphs being its lines."""
-        found = []
-        for number, line in enumerate(text.split("\n")):
-            low = line.lower()
-            if self._cue.search(low):
-                found += [(number, *n[1:]) for n in self._notices(_WORD.findall(low))]
+        """(line, family, probability, overlap) of the confirmed notices of a text, each at the line of its first word.
+
+        Notices run across line breaks, but not across blank lines.
+        """
+        found, lines = [], text.lower().split("\n")
+        begin = 0
+        while begin < len(lines):
+            end = begin
+            while end < len(lines) and lines[end].strip():
+                end += 1
+            block = lines[begin:end]
+            if any(map(self._cue.search, block)):
+                per = [_WORD.findall(line) for line in block]
+                for k in range(len(per) - 1):  # a word broken at a hyphen stays on its first line
+                    if per[k] and per[k + 1] and block[k].rstrip().endswith(per[k][-1] + "-"):
+                        head, tail = per[k][-1], per[k + 1].pop(0)
+                        per[k][-1] = head + tail if head + tail in self.vocabulary else head + "-" + tail
+                at = [begin + k for k, words in enumerate(per) for _ in words]
+                found += [(at[first], *n) for first, *n in self._notices([w for words in per for w in words])]
+            begin = end + 1
         return found
 
     @cached_property

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -121,6 +122,20 @@ def test_licence_notices_side_by_side(spark):
     assert (row["families"], row["n_notices"], row["first_paragraph"]) == ("Apache-2.0,MIT", 2, 0)
 
 
+def test_licence_notices_wrapped(spark):
+    model = licences.train()
+    for family, templates in licences.TEMPLATES.items():
+        for t in templates:
+            for lead in ("", "# ", " * "):
+                wrapped = textwrap.fill(t, 72, initial_indent=lead, subsequent_indent=lead)
+                for end in ("\n", "\r\n"):
+                    assert [h[:2] for h in model.scan(("Before.\n\n" + wrapped + "\n\nAfter.").replace("\n", end))] == [(2, family)]
+    assert model.scan("Released under\n\nthe MIT License.") == []
+    mit = "intro\n" + textwrap.fill(licences.TEMPLATES["MIT"][2], 72)
+    row = licences.scan_licences(spark.createDataFrame([(1, mit)], "doc_id long, text string"), model).first()
+    assert (row["families"], row["n_notices"], row["first_paragraph"]) == ("MIT", 1, 1)
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 130, 5000])
 @pytest.mark.parametrize("kind", ["same", "noise", "mixed"])
 def test_codecs_round_trip(n, kind):
