@@ -14,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 14
 #: The bound on labelled rows that the weights are trained on; everything else counts all rows.
 SAMPLE = 2000
+#: Labelled rows that a language is sampled with at least, as far as it has them.
+LEAST_ROWS = 50
 EPOCHS = 4
 #: Follow-the-regularised-leader: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
@@ -85,7 +87,8 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) ->
     number = {n: i for i, n in enumerate(names)}
     if k < 2:
         return Model(names, idf, np.zeros((FEATURES, max(1, k))), np.zeros(max(1, k)), 1.0)
-    held, used = samples[::5], [s for i, s in enumerate(samples) if i % 5 or len(samples) < 25]
+    taught = {s[2] for i, s in enumerate(samples) if i % 5}
+    held, used = samples[::5], [s for i, s in enumerate(samples) if i % 5 or len(samples) < 25 or s[2] not in taught]
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
 
     def weights(rows) -> np.ndarray:
@@ -128,7 +131,8 @@ def is_held_out(id_col, folds: int):
 def fit(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of the documents not held out that have a text and a language.
 
-    The driver gets FEATURES document frequencies and about ``sample`` sparse vectors, chosen by a hash of the id.
+    The driver gets FEATURES document frequencies, a count per language, and about ``sample`` sparse vectors chosen by a
+    hash of the id. Languages that these would hold fewer than LEAST_ROWS of are filled up, so that every one is learned.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(~is_held_out(F.col("id"), folds) & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -151,8 +155,16 @@ def fit(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE, id_col: str =
             df[feature] = n
     idf = np.log((1 + rows) / (1 + df)) + 1.0
     place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("id")), 1)
-    chosen = known.withColumn("place", place).where(F.col("place") <= F.lit(min((1 << 63) - 1, ((1 << 63) - 1) * sample // max(rows, 1))))
-    chosen = chosen.dropDuplicates(["place"]).orderBy("place").limit(2 * sample)
+    known = known.withColumn("place", place)
+    most = (1 << 63) - 1
+    limits = []
+    for lang, n, first in known.groupBy("lang").agg(F.count("*"), F.min("place")).collect():
+        quota = max(sample * n // max(rows, 1), LEAST_ROWS)
+        below = max(min(most, most * sample // max(rows, 1)), min(most, most * LEAST_ROWS // n), first)
+        limits.append((lang, below, 2 * quota))
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long, most long"))
+    ranked = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = known.join(bounds, "lang").where("place <= below").dropDuplicates(["place", "lang"]).withColumn("rank", ranked).where("rank <= most")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +174,7 @@ def fit(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE, id_col: str =
                 names=["place", "lang", "at", "value"],
             )
 
-    got = chosen.select("place", "lang", "text").mapInArrow(vectors, "place long, lang string, at array<long>, value array<double>").toArrow().sort_by("place")
+    got = chosen.select("place", "lang", "text").mapInArrow(vectors, "place long, lang string, at array<long>, value array<double>").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
     samples = [(np.array(a.as_py(), np.int64), np.array(v.as_py()), lang.as_py()) for a, v, lang in zip(got["at"], got["value"], got["lang"], strict=True)]
     return train(samples, idf)
 

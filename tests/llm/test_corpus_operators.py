@@ -228,3 +228,10 @@ def test_quality(spark, documents):
     none = quality.score_documents(documents, labels.limit(0)).select("score").distinct().collect()
     assert [r[0] for r in none] == [0.5]
     assert quality.keep_good(documents, labels).columns == documents.columns
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the common words of text number {i} and others", "aa") for i in range(3000)] + [(i, "zyx wvu żółć qqq", "bb") for i in range(3000, 3006)] + [(3006, "łąk śnieg ćma", "cc"), (3007, "łąk śnieg ćma", "cc"), (3008, "łąk śnieg ćma", "cc")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
+    assert model.languages == ("aa", "bb", "cc")
+    assert [model.predict(t)[0] for t in ("the words of others", "zyx wvu żółć", "łąk śnieg ćma")] == ["aa", "bb", "cc"]
