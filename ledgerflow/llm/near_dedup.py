@@ -29,8 +29,10 @@ HASHES = 48
 #: Values per band: 24 bands of 4 miss a pair of similarity 0.8 once in 300,000.
 ROWS = 4
 #: A sketch holds 4 bits of each value. Of a pair of similarity 0.8, 78 of 96 agree on average (chance included), and
-#: fewer than this once in 10^6: such a pair isn't looked at in the second round.
+#: fewer than this once in 200,000: such a pair isn't looked at in the second round.
 LEAST_EQUAL = 60
+#: The threshold that bands and LEAST_EQUAL are tuned to; above it they miss less.
+LEAST_PERCENT = 80
 SKETCH = tuple(f"s{i}" for i in range(2 * HASHES // 16))
 #: Buckets of up to so many texts are compared pair by pair in the second round; larger ones by shared shingles.
 SMALL_BUCKET = 12
@@ -219,7 +221,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     doc_id is that one. Defined results: a text that is null or has no words has no shingles and is linked with
     nothing, its component is its own doc_id; equal texts are linked; rows alike are each returned, alike; a null
     doc_id is never the smallest unless all are null, and is not kept beside others; an empty table gives none.
+    Bands and sketches are tuned to 80 percent: lower thresholds and other numbers of hash functions or rows are refused.
     """
+    if not LEAST_PERCENT <= percent <= 100 or hashes != HASHES or rows != ROWS:
+        raise ValueError(f"percent {percent}, hashes {hashes}, rows {rows}: bands and sketches are for {LEAST_PERCENT} to 100, {HASHES} and {ROWS}")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", text_key(F.col("text")))
     signed = materialize(base.mapInArrow(_signer(words, hashes, rows), "id long, key binary, n long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)), "minmax-signed")
     texts = materialize(

@@ -235,3 +235,9 @@ def test_rare_languages_are_learned(spark):
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
     assert model.languages == ("aa", "bb", "cc")
     assert [model.predict(t)[0] for t in ("the words of others", "zyx wvu żółć", "łąk śnieg ćma")] == ["aa", "bb", "cc"]
+
+
+@pytest.mark.parametrize("other", [{"percent": 60}, {"hashes": 24}, {"rows": 8}])
+def test_untuned_links_are_refused(spark, other):
+    with pytest.raises(ValueError, match="bands and sketches"):
+        near_dedup.link(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), **other)
