@@ -5,60 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.session import materialize
+from ledgerflow.session import keep, measured, scratch
 
 #: Each round at least halves the depth of the trees, so this many rounds cover any table.
 MAX_ROUNDS = 64
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFFFF))).alias("h"),
-        F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit(0xFFFFFFFFFF))).alias("g"),
-    ).first()
-    return tuple(row)
+def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, int, bool]:
+    """Every node tells its larger neighbours the smallest node it knows: (edges, their number, whether they changed).
 
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node tells its larger neighbours the smallest node it knows."""
+    Nothing changes if the lower end of every edge knows no smaller node than itself; that is seen before the join.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-large")
-    told = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return told.where("u <> v").distinct()
+    knows = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("above")).select("u", F.least("u", "m").alias("m"), "above")
+    least, seen = measured(knows, "cc-large", still="sum(CASE WHEN m = u THEN above END)")
+    if seen["still"] == n:
+        return edges, n, False
+    told = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least.select("u", "m").hint("merge"), "u")
+    out, seen = measured(told.select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-round", n="count(*)")
+    return out, seen["n"], True
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node tells its smaller neighbours, and itself, the smallest of them. Expects u > v."""
-    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
-    told = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return told.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, n: int) -> tuple[DataFrame, int, bool]:
+    """Every node tells its smaller neighbours, and itself, the smallest of them. Expects u > v; as _large_star().
+
+    Nothing changes if every node has one smaller neighbour.
+    """
+    least, seen = measured(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-small", n="count(*)")
+    if seen["n"] == n:
+        return edges, n, False
+    told = edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out, seen = measured(told.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-round", n="count(*)")
+    return out, seen["n"], True
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Label each node of ``edges`` with the smallest node of its component: (node, component).
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014). Every round is written to shared
-    storage, only its fingerprint reaches the driver. Joins against the per-node minimum read two written
-    tables, so a hub with many edges is split by adaptive execution. Self-loops label a node with itself;
-    edges with a null end are ignored; an empty table gives an empty result.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) until neither changes anything. Every step is
+    written to shared storage; only counts, taken by the jobs that write, reach the driver. Joins against the per-node
+    minimum read two written tables, so a hub with many edges is split by adaptive execution. Self-loops label a node
+    with itself; edges with a null end are ignored; an empty table gives an empty result.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    loops = pairs.where("u = v").select("u").distinct()
-    work = materialize(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    before = _fingerprint(work)
-    if before[0]:
-        for _ in range(MAX_ROUNDS):
-            work = materialize(_large_star(work), "cc-round")
-            work = materialize(_small_star(work), "cc-round")
-            now = _fingerprint(work)
-            if now == before:
+    with scratch():
+        directed = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        every, seen = measured(directed, "cc-edges", n="count(*)", loops="count_if(u = v)")
+        loops, work, n = every.where("u = v").select("u"), every.where("u <> v"), seen["n"] - seen["loops"]
+        for _ in range(MAX_ROUNDS if n else 0):
+            work, n, moved = _large_star(work, n)
+            work, n, merged = _small_star(work, n)
+            if not moved and not merged:
                 break
-            before = now
         else:
-            raise RuntimeError("connected components did not settle")
-    found = work.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    labelled = found.union(roots)
-    alone = loops.select(F.col("u").alias("node")).join(labelled.select("node"), "node", "left_anti")
-    return labelled.union(alone.select("node", F.col("node").alias("component")))
+            if n:
+                raise RuntimeError("connected components did not settle")
+        found = work.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        labelled = found.union(work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        if seen["loops"]:
+            alone = loops.select(F.col("u").alias("node")).join(labelled.select("node"), "node", "left_anti")
+            labelled = labelled.union(alone.select("node", F.col("node").alias("component")))
+        return keep(labelled)

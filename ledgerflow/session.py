@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Folders that the innermost scratch() has written and that nothing has kept.
+_written: ContextVar[dict[str, SparkSession] | None] = ContextVar("written", default=None)
 
 
 def local_session(cpus: str = "*", **conf: str) -> SparkSession:
@@ -35,7 +42,52 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read, not a re-run. It also gives both sides of a
     later join a plain exchange, so that adaptive execution can split a hot key.
     """
+    return _stored(df, df, tag)
+
+
+def measured(df: DataFrame, tag: str, **sums: str) -> tuple[DataFrame, dict]:
+    """As materialize(), with SQL aggregates of the rows that come from the job that writes them."""
+    seen = Observation()
+    return _stored(df, df.observe(seen, *[F.expr(x).alias(name) for name, x in sums.items()]), tag), seen.get
+
+
+def _stored(df: DataFrame, watched: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerflow/{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
+    watched.write.parquet(path)
+    if (written := _written.get()) is not None:
+        written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Let the tables that ``df`` reads outlive the scratch() that they were written in; an outer scratch() then owns them."""
+    if (written := _written.get()) is not None:
+        read = "\n".join(df.inputFiles())
+        for path in [p for p in written if p.rsplit("/", 1)[1] in read]:
+            written[path] = None
+    return df
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what materialize() writes in this block when the block ends well, but for what keep() was told of.
+
+    After an error everything stays, to be looked at. Inside another scratch(), kept tables pass to that one.
+    """
+    outer, own = _written.get(), {}
+    token = _written.set(own)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+    for path, spark in own.items():
+        if spark is not None:
+            _delete(spark, path)
+        elif outer is not None:
+            outer[path] = SparkSession.getActiveSession()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
