@@ -5,9 +5,9 @@ document; both are banded. Documents that share a band are candidates, and a can
 the full shingle sets confirm it.
 
 Work is done on distinct texts. In a bucket, every text is compared with one pivot, the text whose buckets are
-the fullest (copies of a common original meet in the original's buckets). The links found are contracted into
-components. Buckets that then still hold several components are gone through again, texts of different components
-only: small buckets pair by pair, large ones by a prefix filter on their texts' shingles. So no link between
+the fullest (copies of a common original meet in the original's buckets). Every text then belongs to the part of the
+most central pivot that it is linked with. Buckets that hold several parts are gone through again, texts of different
+parts only: small buckets pair by pair, large ones by a prefix filter on their texts' shingles. So no link between
 components is lost, and a group of many copies never becomes all its pairs.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.graph import connected_components
-from ledgerflow.session import materialize
+from ledgerflow.session import keep, materialize, measured, scratch
 
 #: Hash functions; each gives a minimum and a maximum, so there are twice as many values.
 HASHES = 48
@@ -151,8 +151,8 @@ def _verifier(words: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last = None, None
         for batch in batches:
-            us, vs = [], []
-            for u, v, a, b in zip(*(batch.column(c) for c in ("u", "v", "a", "b")), strict=True):
+            hits = []
+            for i, (v, a, b) in enumerate(zip(*(batch.column(c) for c in ("v", "a", "b")), strict=True)):
                 v = v.as_py()
                 if v != last_key:
                     last_key, last = v, shingle_set(b.as_py(), words)
@@ -161,9 +161,8 @@ def _verifier(words: int, percent: int):
                     continue
                 both = len(np.intersect1d(mine, last, assume_unique=True))
                 if 100 * both >= percent * (len(mine) + len(last) - both):
-                    us.append(u.as_py())
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+                    hits.append(i)
+            yield batch.select(["u", "v", "central"]).take(pa.array(hits, pa.int32()))
 
     return verify
 
@@ -179,29 +178,28 @@ def _tokens(words: int):
     return tokens
 
 
-def _across(docs: DataFrame, ends: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (x, y) of (doc, head, text) rows with different heads that may be links; every link is among them.
+def _across(texts: DataFrame, ends: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of (node, doc, head) rows with different heads that may be links; every link is among them.
 
     A link needs at least p = percent / 100 of either document's shingles in common. Only shingles seen under
-    several heads can be; documents with too few of them are out, which is decided twice as fewer remain. The rest
-    meet in the rarest of these shingles, as many as leave less than the needed number (prefix filter). Where
-    two first meet, what is left of either from there on must allow the link, and so must sizes and sketches.
+    several heads can be; documents with too few of them are out. The rest meet in the rarest of these shingles, as
+    many as leave less than the needed number (prefix filter). Where two first meet, what is left of either from
+    there on must allow the link, and so must sizes and sketches.
     """
     p = percent
-    rows = materialize(docs.mapInArrow(_tokens(words), "token long, doc long, head long, n long"), "minmax-tokens")
-    for step in ("a", "b"):
-        shared = rows.groupBy("token").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
-        common = materialize(rows.select("token", "doc", "head", "n").join(materialize(shared, "minmax-shared-" + step), "token"), "minmax-common-" + step)
-        able = materialize(common.groupBy("doc").agg(F.count("*").alias("r"), F.max("n").alias("m")).where(f"100 * r >= {p} * m").select("doc", "r"), "minmax-able-" + step)
-        rows = materialize(common.join(able, "doc"), "minmax-rows-" + step)
-    rarest = Window.partitionBy("doc").orderBy("df", "token")
-    prefix = rows.withColumn("at", F.row_number().over(rarest)).where(f"at <= r - ceil({p} * n / 100) + 1").select("token", "doc", "head", "n", "r", "at")
-    prefix = materialize(prefix.join(ends.select("doc", *SKETCH), "doc"), "minmax-prefix")
+    told = ends.join(_grows(texts), "node").select("doc", "head", "text").mapInArrow(_tokens(words), "token long, doc long, head long, n long")
+    rows = materialize(told, "minmax-tokens")
+    shared = rows.groupBy("token").agg(F.min("head").alias("lo"), F.max("head").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
+    common = rows.join(_grows(materialize(shared, "minmax-shared")), "token")
+    whole, rarest = Window.partitionBy("doc"), Window.partitionBy("doc").orderBy("df", "token")
+    able = common.withColumn("r", F.count("*").over(whole)).where(f"100 * r >= {p} * n").withColumn("at", F.row_number().over(rarest))
+    prefix = able.where(f"at <= r - ceil({p} * n / 100) + 1").select("token", "doc", "head", "n", "r", "at")
+    prefix = materialize(prefix.join(_grows(ends.select("doc", "node", *SKETCH)), "doc"), "minmax-prefix")
     need = f"{p} * (x.n + y.n)"  # 100 + p times the shingles in common
     sizes = f"x.head < y.head AND 100 * x.n >= {p} * y.n AND 100 * y.n >= {p} * x.n"
     fits = f"{sizes} AND (100 + {p}) * (1 + least(x.r - x.at, y.r - y.at)) >= {need} AND {_alike('x', 'y')}"
-    met = prefix.alias("x").join(prefix.alias("y"), "token").where(fits)
-    return met.select(F.col("x.doc").alias("x"), F.col("y.doc").alias("y")).distinct()
+    met = prefix.alias("x").join(_grows(prefix.alias("y")), "token").where(fits)
+    return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
 def _grows(table: DataFrame) -> DataFrame:
@@ -213,6 +211,62 @@ def text_key(text):
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _node(least_id, key):
+    """A text's node: whether its smallest id is null, that id in an order of bytes, and the text's key."""
+    ordered = F.unhex(F.lpad(F.hex(F.coalesce(least_id, F.lit(0).cast("long")).bitwiseXOR(F.lit(-1 << 63).cast("long"))), 16, "0"))
+    return F.concat(F.when(least_id.isNull(), F.lit(b"\1")).otherwise(F.lit(b"\0")), ordered, key)
+
+
+def _least_id(node):
+    """The id in a node, the inverse of _node()."""
+    number = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-1 << 63).cast("long"))
+    return F.when(F.substring(node, 1, 1) == F.lit(b"\0"), number)
+
+
+def _links(base: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v, ...) between the nodes of ``texts``: every pair of a bucket of similar texts that is one, or a path of them."""
+
+    def confirmed(these: DataFrame, tag: str) -> DataFrame:
+        a, b = (held.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
+        sides = these.join(_grows(a), "u").join(_grows(b), "v")
+        return materialize(sides.mapInArrow(_verifier(words, percent), "u binary, v binary, central long"), tag)
+
+    bands = texts.select("node", F.explode("bands").alias("band"))
+    buckets = materialize(bands.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "minmax-buckets")
+    # a text has a row per band: its sum is over 24 rows at most
+    members = bands.join(_grows(buckets), "band").withColumn("central", F.sum("held").over(Window.partitionBy("node")))
+    members = materialize(members, "minmax-members")
+    pivots = members.groupBy("band").agg(F.max(F.struct("central", "node")).alias("top")).select("band", F.col("top.node").alias("v"), F.col("top.central").alias("central"))
+    met = members.drop("central").join(_grows(materialize(pivots, "minmax-pivots")), "band").where("node <> v")
+    pairs = materialize(met.select(F.col("node").alias("u"), "v", "central").distinct(), "minmax-pairs")
+    needed = texts.join(_grows(members.select("node").distinct()), "node", "left_semi").select("node", F.col("key").alias("k"), F.col("least_id").alias("i"))
+    copies = base.join(_grows(needed), (base.key == needed.k) & base.id.eqNullSafe(needed.i))
+    held = materialize(copies.groupBy("node").agg(F.first("text").alias("text")), "minmax-held")
+    links = confirmed(pairs, "minmax-links")
+    # buckets that the links to pivots leave in several parts; a text's part is the most central pivot that it is linked with
+    led = links.groupBy(F.col("u").alias("node")).agg(F.max(F.struct("central", "v")).alias("top")).select("node", F.col("top.v").alias("part"))
+    placed = members.join(_grows(led), "node", "left").select("band", "held", "node", F.coalesce("part", "node").alias("part"))
+    placed, _ = measured(placed, "minmax-placed", n="count(*)")
+    apart = placed.groupBy("band").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("band")
+    apart, seen = measured(apart, "minmax-apart", n="count(*)")
+    if not seen["n"]:
+        return links.select("u", "v")
+    still, seen = measured(placed.join(_grows(apart), "band"), "minmax-still", large=f"count_if(held > {SMALL_BUCKET})")
+    small = still.where(F.col("held") <= SMALL_BUCKET).join(_grows(texts.select("node", "n", *SKETCH)), "node")
+    fits = f"x.part < y.part AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n AND {_alike('x', 'y')}"
+    likely = small.alias("x").join(_grows(small.alias("y")), "band").where(fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    if seen["large"]:
+        ends = still.where(F.col("held") > SMALL_BUCKET).select("node", F.xxhash64("node").alias("doc"), F.xxhash64("part").alias("head")).distinct()
+        ends = materialize(ends.join(_grows(texts.select("node", *SKETCH)), "node"), "minmax-ends")
+        likely = likely.union(_across(held, ends, words, percent))
+    tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    likely = likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(_grows(tried), ["u", "v"], "left_anti")
+    likely, seen = measured(likely.withColumn("central", F.lit(0).cast("long")), "minmax-likely", n="count(*)")
+    if seen["n"]:
+        links = links.union(confirmed(likely, "minmax-more"))
+    return links.select("u", "v")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
     """Components of near-duplicate documents: (doc_id, key, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -225,57 +279,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """
     if not LEAST_PERCENT <= percent <= 100 or hashes != HASHES or rows != ROWS:
         raise ValueError(f"percent {percent}, hashes {hashes}, rows {rows}: bands and sketches are for {LEAST_PERCENT} to 100, {HASHES} and {ROWS}")
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", text_key(F.col("text")))
-    signed = materialize(base.mapInArrow(_signer(words, hashes, rows), "id long, key binary, n long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)), "minmax-signed")
-    texts = materialize(
-        signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"), F.max("n").alias("n"), F.first("bands").alias("bands"), *[F.max(s).alias(s) for s in SKETCH]), "minmax-texts"
-    )
-    rows_of = texts.select("key", F.explode("bands").alias("band"))
-    buckets = materialize(rows_of.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "minmax-buckets")
-    members = materialize(rows_of.join(_grows(buckets), "band"), "minmax-members")
-
-    central = materialize(members.groupBy("key").agg(F.sum("held").alias("central")), "minmax-central")
-    pivots = materialize(
-        members.join(_grows(central), "key").groupBy("band").agg(F.max(F.struct("central", "key")).alias("top")).select("band", F.col("top.key").alias("v")), "minmax-pivots"
-    )
-    pairs = materialize(members.join(_grows(pivots), "band").where("key <> v").select(F.col("key").alias("u"), "v").distinct(), "minmax-pairs")
-    needed = materialize(texts.join(members.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("k"), F.col("least_id").alias("i")), "minmax-needed")
-    held = materialize(
-        base.join(_grows(needed), (base.key == needed.k) & base.id.eqNullSafe(needed.i)).groupBy("key", "id").agg(F.first("text").alias("text")).select("key", "text"),
-        "minmax-held",
-    )
-
-    def confirmed(these: DataFrame, tag: str) -> DataFrame:
-        sides = these.join(_grows(held.select(F.col("key").alias("u"), F.col("text").alias("a"))), "u").join(_grows(held.select(F.col("key").alias("v"), F.col("text").alias("b"))), "v")
-        return materialize(sides.mapInArrow(_verifier(words, percent), "u binary, v binary"), tag)
-
-    links = confirmed(pairs, "minmax-links")
-    found = connected_components(links, "u", "v")
-    # buckets that still hold several components
-    placed = members.join(_grows(found.withColumnRenamed("node", "key")), "key", "left").select("band", "held", "key", F.coalesce("component", "key").alias("part"))
-    placed = materialize(placed, "minmax-placed")
-    open_ = placed.groupBy("band").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("band")
-    still = materialize(placed.join(_grows(materialize(open_, "minmax-open")), "band"), "minmax-still")
-    small = still.where(F.col("held") <= SMALL_BUCKET).join(texts.select("key", "n", *SKETCH), "key")
-    fits = f"x.part < y.part AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n AND {_alike('x', 'y')}"
-    few = small.alias("x").join(small.alias("y"), "band").where(fits).select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct()
-    residual = still.where(F.col("held") > SMALL_BUCKET).select("key", "part").distinct().withColumn("doc", F.monotonically_increasing_id())
-    residual = materialize(residual, "minmax-residual")
-    heads = materialize(residual.groupBy("part").agg(F.min("doc").alias("head")), "minmax-heads")
-    residual = materialize(residual.join(heads, "part").join(texts.select("key", *SKETCH), "key").select("key", "doc", "head", *SKETCH), "minmax-headed")
-    many = _across(held.join(residual, "key"), residual, words, percent)
-    ends = residual.select("doc", "key")
-    many = many.join(ends.select(F.col("doc").alias("x"), F.col("key").alias("u")), "x").join(ends.select(F.col("doc").alias("y"), F.col("key").alias("v")), "y").select("u", "v")
-    tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    likely = few.union(many).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = confirmed(materialize(likely, "minmax-likely"), "minmax-more")
-    parts = found
-    if not more.isEmpty():
-        parts = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), "u", "v")
-    whole = texts.select("key", "least_id").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = materialize(whole.join(materialize(names, "minmax-names"), "component").select("key", "component_id", "component"), "minmax-named")
-    out = signed.select("id", "key", "n").join(_grows(named), "key", "left")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", text_key(F.col("text")))
+    with scratch():
+        signed = materialize(base.mapInArrow(_signer(words, hashes, rows), "id long, key binary, n long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)), "minmax-signed")
+        texts = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"), F.max("n").alias("n"), F.first("bands").alias("bands"), *[F.max(s).alias(s) for s in SKETCH])
+        texts = materialize(texts.withColumn("node", _node(F.col("least_id"), F.col("key"))), "minmax-texts")
+        # a component's smallest node holds its smallest id
+        parts = connected_components(_links(base, texts, words, percent), "u", "v")
+        named = texts.select("key", "node").join(_grows(parts), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+        named = materialize(named.select("key", F.substring("component", 10, 16).alias("component_key"), _least_id(F.col("component")).alias("component_id")), "minmax-named")
+        out = keep(signed.select("id", "key", "n")).join(_grows(keep(named)), "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"),
@@ -283,7 +296,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
-        F.coalesce("component", "key").alias("component_key"),
+        F.coalesce("component_key", "key").alias("component_key"),
     )
 
 
