@@ -52,6 +52,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         directed = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         every, seen = measured(directed, "cc-edges", n="count(*)", loops="count_if(u = v)")
         loops, work, n = every.where("u = v").select("u"), every.where("u <> v"), seen["n"] - seen["loops"]
+        work.stored_at = every.stored_at
         for _ in range(MAX_ROUNDS if n else 0):
             work, n, moved = _large_star(work, n)
             work, n, merged = _small_star(work, n)
@@ -62,7 +63,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
                 raise RuntimeError("connected components did not settle")
         found = work.select(F.col("u").alias("node"), F.col("v").alias("component"))
         labelled = found.union(work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        keep(work if n else every)
         if seen["loops"]:
+            keep(every)
             alone = loops.select(F.col("u").alias("node")).join(labelled.select("node"), "node", "left_anti")
             labelled = labelled.union(alone.select("node", F.col("node").alias("component")))
-        return keep(labelled)
+        return labelled

@@ -57,16 +57,16 @@ def _stored(df: DataFrame, watched: DataFrame, tag: str) -> DataFrame:
     watched.write.parquet(path)
     if (written := _written.get()) is not None:
         written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Let the tables that ``df`` reads outlive the scratch() that they were written in; an outer scratch() then owns them."""
+def keep(table: DataFrame) -> DataFrame:
+    """Let a table that materialize() gave outlive the scratch() that it was written in; an outer scratch() then owns it."""
     if (written := _written.get()) is not None:
-        read = "\n".join(df.inputFiles())
-        for path in [p for p in written if p.rsplit("/", 1)[1] in read]:
-            written[path] = None
-    return df
+        written[table.stored_at] = None
+    return table
 
 
 @contextmanager
