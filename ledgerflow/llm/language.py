@@ -154,7 +154,7 @@ def fit(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE, id_col: str =
         else:
             df[feature] = n
     idf = np.log((1 + rows) / (1 + df)) + 1.0
-    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("id")), 1)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("id"), F.col("text")), 1)  # rows of one place are alike
     known = known.withColumn("place", place)
     most = (1 << 63) - 1
     limits = []
@@ -169,14 +169,19 @@ def fit(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE, id_col: str =
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [vector(t.as_py(), idf) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("place"), batch.column("lang"), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))],
-                names=["place", "lang", "at", "value"],
-            )
+            bounds = pa.array(np.cumsum([0, *(len(a) for a, _ in found)]), pa.int32())
+            at, value = (pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x or [np.empty(0)]).astype(t))) for x, t in (([a for a, _ in found], np.int32), ([v for _, v in found], np.float64)))
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), at, value], names=["place", "lang", "at", "value"])
+
+    got = chosen.select("place", "lang", "text").mapInArrow(vectors, "place long, lang string, at array<int>, value array<double>").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
+    return train(list(zip(_rows(got["at"]), _rows(got["value"]), got["lang"].to_pylist(), strict=True)), idf)
+
 
-    got = chosen.select("place", "lang", "text").mapInArrow(vectors, "place long, lang string, at array<long>, value array<double>").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
-    samples = [(np.array(a.as_py(), np.int64), np.array(v.as_py()), lang.as_py()) for a, v, lang in zip(got["at"], got["value"], got["lang"], strict=True)]
-    return train(samples, idf)
+def _rows(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a column of lists, as views of its values."""
+    whole = lists.combine_chunks()
+    bounds, values = whole.offsets.to_numpy(), whole.values.to_numpy()
+    return [values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def identify(docs: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -211,14 +211,14 @@ def text_key(text):
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _node(least_id, key):
-    """A text's node: whether its smallest id is null, that id in an order of bytes, and the text's key."""
+def row_key(least_id, key):
+    """A row's key, and with its smallest id a text's node: whether the id is null, the id in an order of bytes, the text's key or nothing."""
     ordered = F.unhex(F.lpad(F.hex(F.coalesce(least_id, F.lit(0).cast("long")).bitwiseXOR(F.lit(-1 << 63).cast("long"))), 16, "0"))
-    return F.concat(F.when(least_id.isNull(), F.lit(b"\1")).otherwise(F.lit(b"\0")), ordered, key)
+    return F.concat(F.when(least_id.isNull(), F.lit(b"\1")).otherwise(F.lit(b"\0")), ordered, F.coalesce(key, F.lit(b"")))
 
 
 def _least_id(node):
-    """The id in a node, the inverse of _node()."""
+    """The id in a node, the inverse of row_key()."""
     number = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-1 << 63).cast("long"))
     return F.when(F.substring(node, 1, 1) == F.lit(b"\0"), number)
 
@@ -283,12 +283,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     with scratch():
         signed = materialize(base.mapInArrow(_signer(words, hashes, rows), "id long, key binary, n long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)), "minmax-signed")
         texts = signed.where("n > 0").groupBy("key").agg(F.min("id").alias("least_id"), F.max("n").alias("n"), F.first("bands").alias("bands"), *[F.max(s).alias(s) for s in SKETCH])
-        texts = materialize(texts.withColumn("node", _node(F.col("least_id"), F.col("key"))), "minmax-texts")
+        texts = materialize(texts.withColumn("node", row_key(F.col("least_id"), F.col("key"))), "minmax-texts")
         # a component's smallest node holds its smallest id
         parts = connected_components(_links(base, texts, words, percent), "u", "v")
         named = texts.select("key", "node").join(_grows(parts), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
         named = materialize(named.select("key", F.substring("component", 10, 16).alias("component_key"), _least_id(F.col("component")).alias("component_id")), "minmax-named")
-        out = keep(signed.select("id", "key", "n")).join(_grows(keep(named)), "key", "left")
+        out = keep(signed).select("id", "key", "n").join(_grows(keep(named)), "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"),
