@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators.graph import connected_components
 from ledgerflow.operators.ledger import Ledger, common_input_links
+from ledgerflow.session import keep, materialize, measured, scratch
 
 
 def common_input_clusters(ledger: Ledger) -> DataFrame:
@@ -20,16 +21,25 @@ def two_views(links: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]
     """Memberships (address, full) and (address, core) from (src, dst, batch_sweep) links.
 
     Seeds belong to the full view even without links, but to the core view only through links. A link of an address
-    with itself is evidence and joins nothing.
+    with itself is evidence and joins nothing. The full view joins components of the core by batch links, of which there
+    are few; without any the two are one.
     """
-    apart = links.where("src <> dst")
-    full = connected_components(apart).withColumnsRenamed({"node": "address", "component": "full"})
-    alone = seeds.select("address").distinct().join(full, "address", "left_anti")
-    core = connected_components(apart.where("NOT batch_sweep")).withColumnsRenamed({"node": "address", "component": "core"})
-    looped = links.where("src = dst").select(F.col("src").alias("address"))
-    own = looped.where("NOT batch_sweep").distinct().join(core, "address", "left_anti").select("address", F.col("address").alias("core"))
-    lone = alone.union(looped.distinct().join(full, "address", "left_anti")).distinct().select("address", F.col("address").alias("full"))
-    return full.union(lone), core.union(own)
+    with scratch():
+        core = connected_components(links.where("NOT batch_sweep")).withColumnsRenamed({"node": "address", "component": "core"})
+        core = keep(materialize(core, "core"))
+        ends = links.where("batch_sweep").select("src", "dst").distinct()
+        for end in ("src", "dst"):
+            named = core.select(F.col("address").alias(end), F.col("core").alias("c"))
+            ends = ends.join(named, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        ends, seen = measured(ends, "batch-links", n="count(*)")
+        full = core.withColumnRenamed("core", "full")
+        if seen["n"]:
+            over = connected_components(ends).withColumnsRenamed({"node": "full", "component": "whole"})
+            nodes = full.union(links.where("batch_sweep").select(F.explode(F.array("src", "dst")).alias("address"), F.col("address").alias("full")).join(core, "address", "left_anti")).distinct()
+            full = nodes.join(over, "full", "left").select("address", F.coalesce("whole", "full").alias("full"))
+        alone = seeds.select("address").distinct().join(full, "address", "left_anti")
+        full = keep(materialize(full.union(alone.select("address", F.col("address").alias("full"))), "full"))
+    return full, core
 
 
 def clusters(links: DataFrame, seeds: DataFrame, full: DataFrame, core: DataFrame) -> DataFrame:

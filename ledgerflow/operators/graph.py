@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.session import keep, measured, scratch
+from ledgerflow.session import keep, materialize, measured, scratch
 
 #: Each round at least halves the depth of the trees, so this many rounds cover any table.
 MAX_ROUNDS = 64
+#: Up to so many edges, which is counted first, one task joins them in its memory: some 20 MB.
+FEW = 1 << 17
 
 
 def _large_star(edges: DataFrame, n: int) -> tuple[DataFrame, int, bool]:
@@ -39,7 +44,28 @@ def _small_star(edges: DataFrame, n: int) -> tuple[DataFrame, int, bool]:
     return out, seen["n"], True
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all the edges of one task, by parents: (node, component)."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    kinds = [pa.null(), pa.null()]
+    for batch in batches:
+        kinds = batch.schema.types
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kinds[0]), pa.array([root(x) for x in nodes], kinds[1])], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", few: int = FEW) -> DataFrame:
     """Label each node of ``edges`` with the smallest node of its component: (node, component).
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until neither changes anything. Every step is
@@ -51,6 +77,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     with scratch():
         directed = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         every, seen = measured(directed, "cc-edges", n="count(*)", loops="count_if(u = v)")
+        if seen["n"] <= few:
+            kind = every.schema["u"].dataType.simpleString()
+            return keep(materialize(every.coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}"), "cc-few"))
         loops, work, n = every.where("u = v").select("u"), every.where("u <> v"), seen["n"] - seen["loops"]
         work.stored_at = every.stored_at
         for _ in range(MAX_ROUNDS if n else 0):

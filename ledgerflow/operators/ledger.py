@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.session import materialize
+
 CHANGE, PAYMENT, UNDETERMINED = "change (heuristic)", "payment (heuristic)", "undetermined"
 ROUND_UNIT = 100_000
 EQUAL_OUTPUTS = 3
@@ -26,6 +28,18 @@ class Ledger:
         return self.tx.agg(F.max("height")).first()[0]
 
 
+def stored(ledger: Ledger) -> Ledger:
+    """The ledger's tables, written to shared storage: for views that are dear to read again."""
+    return Ledger(*(materialize(t, "ledger-" + n) for n, t in (("tx", ledger.tx), ("in", ledger.tx_in), ("out", ledger.tx_out))))
+
+
+def with_times(ledger: Ledger, times: DataFrame) -> Ledger:
+    """The ledger with missing block times filled in from (height, time)."""
+    known = times.groupBy("height").agg(F.min("time").alias("known_time"))
+    tx = ledger.tx.join(known, "height", "left").withColumn("time", F.coalesce("time", "known_time"))
+    return Ledger(tx.select(*ledger.tx.columns), ledger.tx_in, ledger.tx_out)
+
+
 def order_key() -> Column:
     return F.shiftleft(F.col("height").cast("long"), 31) + F.col("tx_index").cast("long")
 
@@ -38,7 +52,7 @@ def coinjoin_flags(ledger: Ledger, least: int = EQUAL_OUTPUTS) -> DataFrame:
     return both.select("txid", found.alias("max_equal"), ((found >= least) & (F.col("n_in") >= least)).alias("coinjoin"))
 
 
-def change_guesses(ledger: Ledger, round_unit: int = ROUND_UNIT) -> DataFrame:
+def change_guesses(ledger: Ledger, round_unit: int = ROUND_UNIT, flags: DataFrame | None = None) -> DataFrame:
     """(txid, change_n, reasons) of two-output transactions whose signals point at exactly one output.
 
     Paying back to an input address settles it; otherwise the only output of the inputs' one script type, and the
@@ -73,10 +87,10 @@ def change_guesses(ledger: Ledger, round_unit: int = ROUND_UNIT) -> DataFrame:
     ).where("change_n IS NOT NULL")
 
 
-def output_labels(ledger: Ledger, round_unit: int = ROUND_UNIT) -> DataFrame:
+def output_labels(ledger: Ledger, round_unit: int = ROUND_UNIT, flags: DataFrame | None = None) -> DataFrame:
     """(txid, n, address, sats, label, reasons) of every output of transactions that aren't mixes."""
-    guesses = change_guesses(ledger, round_unit).withColumnRenamed("reasons", "why")
-    plain = ledger.tx.join(coinjoin_flags(ledger).where("NOT coinjoin").select("txid"), "txid", "left_semi").select("txid", "n_out")
+    guesses = change_guesses(ledger, round_unit, flags).withColumnRenamed("reasons", "why")
+    plain = ledger.tx.join((flags or coinjoin_flags(ledger)).where("NOT coinjoin").select("txid"), "txid", "left_semi").select("txid", "n_out")
     outs = ledger.tx_out.join(plain, "txid").join(guesses, "txid", "left")
     known, is_change = F.col("change_n").isNotNull(), F.col("n") == F.col("change_n")
     other = (

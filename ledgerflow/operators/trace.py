@@ -2,12 +2,17 @@
 
 A level's transactions are ordered, and an address reached by one is known to those after it; whether a later
 transaction sweeps many strangers' coins depends on that. The dependency only points backwards, so the level has one
-solution, found by repeating set operations until the set of branch-ending sweeps is stable. Each level is written to
-shared storage.
+solution, found by repeating set operations until the set of branch-ending sweeps is stable.
+
+The ledger is read three times a level: for the transactions that spend from the frontier, and for their inputs and
+outputs. What these give is written; all else of the level is computed from it. With ``resume`` the tables of a finished
+level go to a folder that a later run of the same trace, or of a deeper one, takes them from.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -15,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.functions.scripts import to_day
 from ledgerflow.operators.ledger import CHANGE, Ledger, coinjoin_flags, order_key, output_labels
-from ledgerflow.session import materialize
+from ledgerflow.session import keep, materialize, measured, scratch
 
 SAMPLE = 10
 
@@ -45,7 +50,7 @@ def spends_of(ledger: Ledger, frontier: DataFrame) -> DataFrame:
     """
     hit = ledger.tx_in.select("txid", "address").distinct().join(frontier, "address")
     by_tx = hit.groupBy("txid").agg(F.array_sort(F.collect_set("address")).alias("spenders"), F.min("reached").alias("reached"))
-    return ledger.tx.select("txid", "height", "tx_index", "time", "n_in", "n_out").join(by_tx, "txid").where("height >= reached").withColumn("ord", order_key())
+    return ledger.tx.select("txid", "height", "tx_index", "time", "is_coinbase", "n_in", "n_out").join(by_tx, "txid").where("height >= reached").withColumn("ord", order_key())
 
 
 def blocks_touching(ledger: Ledger, frontier: DataFrame, start: int) -> int:
@@ -62,117 +67,181 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def trace(ledger: Ledger, seeds: DataFrame, max_depth: int = 2, max_addresses: int | None = 100, min_sats: int = 0, start_height: int = 0, service_min_inputs: int = 20, round_unit: int = 100_000) -> Trace:
+#: Tables of a finished level that later levels and the result are made of.
+LEVEL = ("new", "ins", "outs", "info", "hops", "links", "followed")
+
+
+def trace(
+    ledger: Ledger, seeds: DataFrame, max_depth: int = 2, max_addresses: int | None = 100, min_sats: int = 0, start_height: int = 0, service_min_inputs: int = 20, round_unit: int = 100_000, resume: str | None = None
+) -> Trace:
     """Follow funds from ``seeds`` (address) for ``max_depth`` levels.
 
     A transaction whose distinct input addresses hold ``service_min_inputs`` or more that the trace doesn't know is a
     sweep: with at most two outputs it ends the branch, with more it is followed and its links are marked; 0 turns both
     off. Mixes end the branch as well. Outputs of at least ``min_sats`` to addresses not yet known are followed until
-    ``max_addresses`` are known (None: no cap), in the order of transactions and outputs.
+    ``max_addresses`` are known (None: no cap), in the order of transactions and outputs. ``resume`` names a folder of
+    finished levels; they are those of the same seeds, parameters and tip.
     """
-    seeds = materialize(seeds.select("address").where("address IS NOT NULL").distinct(), "trace-seeds")
-    out = Trace(seeds, {"max_depth": max_depth, "max_addresses": max_addresses, "min_sats": min_sats, "start_height": start_height, "service_min_inputs": service_min_inputs}, ledger.tip())
-    mixes = coinjoin_flags(ledger).where("coinjoin").select("txid")
-    labels = output_labels(ledger, round_unit)
-    visited = seeds
-    frontier = seeds.withColumn("reached", F.lit(start_height).cast("int"))
-    seen: DataFrame | None = None
-    parts: dict[str, list[DataFrame]] = {k: [] for k in ("transactions", "hops", "coinjoin_stops", "service_stops", "links", "activity")}
-    for depth in range(1, max_depth + 1):
-        low = frontier.agg(F.min("reached"), F.count("*")).first()
-        if not low[1]:
-            break
-        spends = materialize(spends_of(ledger, frontier), "trace-spends")
-        touching = blocks_touching(ledger, frontier, low[0])
-        out.levels.append({"depth": depth, "addresses": low[1], "scanned_from_height": low[0], "candidate_blocks": touching, "blocks_touching": touching, "spending_txs": spends.count()})
-        new = spends if seen is None else spends.join(seen, "txid", "left_anti")
-        new = materialize(new.join(mixes.withColumn("mix", F.lit(True)), "txid", "left").withColumn("mix", F.coalesce("mix", F.lit(False))), "trace-new")
-        seen = new.select("txid") if seen is None else materialize(seen.union(new.select("txid")), "trace-seen")
-        level = _level(ledger, new, visited, max_addresses, min_sats, service_min_inputs)
-        out.truncated |= level["truncated"]
-        tables = _records(ledger, new, labels, level, depth)
-        for name, table in tables.items():
-            parts[name].append(materialize(table, f"trace-{name}"))
-        followed = level["followed"]
-        frontier = materialize(followed.select("address", F.col("height").alias("reached")), "trace-frontier")
-        visited = materialize(visited.union(followed.select("address")), "trace-visited")
-    for name, tables in parts.items():
+    rule = {"max_addresses": max_addresses, "min_sats": min_sats, "start_height": start_height, "service_min_inputs": service_min_inputs}
+    with scratch():
+        seeds, seen = measured(seeds.select("address").where("address IS NOT NULL").distinct(), "trace-seeds", n="count(*)", h="sum(xxhash64(address) & 1099511627775)")
+        out = Trace(keep(seeds), {"max_depth": max_depth} | rule, ledger.tip())
+        folder = f"{resume}/{_name({**rule, 'round_unit': round_unit, 'tip': out.tip, 'seeds': [seen['n'], seen['h']]})}" if resume else None
+        frontier, low, known = seeds.withColumn("reached", F.lit(start_height).cast("int")), start_height, [seeds]
+        reached, count, levels = seen["n"], seen["n"], []
+        for depth in range(1, max_depth + 1):
+            if not reached:
+                break
+            level = _stored_level(seeds.sparkSession, folder, depth)
+            if level is None:
+                level = _level(ledger, frontier, levels, _union(known), count, low, depth, max_addresses, min_sats, service_min_inputs, round_unit)
+                level["stats"] = {"depth": depth, "addresses": reached, "scanned_from_height": low} | level["stats"]
+                _store_level(level, folder, depth)
+            levels.append(level)
+            for name in LEVEL:
+                if level[name].__dict__.get("stored_at"):
+                    keep(level[name])
+            out.levels.append(level["stats"])
+            out.truncated |= level["truncated"]
+            reached, low = level["reached"], level["low"]
+            frontier = level["followed"].select("address", F.col("height").alias("reached"))
+            known.append(frontier.select("address"))
+            count += reached
+    for name in ("transactions", "hops", "coinjoin_stops", "service_stops", "links", "activity"):
+        tables = [_tables(level, depth)[name] for depth, level in enumerate(levels, 1)]
         setattr(out, name, _union(tables) if tables else None)
     out.unexplored = frontier.select("address")
     return out
 
 
-def _level(ledger: Ledger, new: DataFrame, visited: DataFrame, cap: int | None, min_sats: int, least: int) -> dict:
-    """Solve a level: followed (address, height, ord, n), strangers (txid, all_inputs, outside, sample) and stops (txid)."""
-    firsts = ledger.tx_in.where("address IS NOT NULL").groupBy("txid", "address").agg(F.min("in_index").alias("at"))
+def _name(rule: dict) -> str:
+    return hashlib.sha256(json.dumps(rule, sort_keys=True).encode()).hexdigest()[:24]
+
+
+def _store_level(level: dict, folder: str | None, depth: int) -> None:
+    """The level's tables, and last what says that they are whole."""
+    if folder is None:
+        return
+    spark = level["new"].sparkSession
+    for name in LEVEL:
+        level[name].write.mode("overwrite").parquet(f"{folder}/level={depth}/{name}")
+    said = json.dumps({k: level[k] for k in ("stats", "truncated", "reached", "low")})
+    spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/level={depth}/said")
+
+
+def _stored_level(spark, folder: str | None, depth: int) -> dict | None:
+    if folder is None:
+        return None
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/level={depth}/said/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return None
+    level = json.loads(spark.read.text(f"{folder}/level={depth}/said").first()[0])
+    return level | {name: spark.read.parquet(f"{folder}/level={depth}/{name}") for name in LEVEL}
+
+
+def _level(ledger: Ledger, frontier: DataFrame, before: list[dict], known: DataFrame, count: int, low: int, depth: int, cap: int | None, min_sats: int, least: int, round_unit: int) -> dict:
+    """A level's tables, statistics and what the next one needs."""
+    spends = spends_of(ledger, frontier)
+    if before:
+        again = _union([x["new"].select("txid") for x in before]).withColumn("again", F.lit(True))
+        spends = spends.join(again, "txid", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    else:
+        spends = spends.withColumn("again", F.lit(False))
+    spends, seen = measured(spends, "trace-spends", n="count(*)")
+    touching = blocks_touching(ledger, frontier, low)
+    new = spends.where("NOT again").drop("again")
+    known = known.withColumn("known", F.lit(True))
+
+    def of(side: DataFrame, tag: str) -> DataFrame:
+        own = side.join(new.select("txid"), "txid", "left_semi").join(known, "address", "left")
+        return materialize(own.withColumn("known", F.coalesce("known", F.lit(False))), tag)
+
+    ins, outs = of(ledger.tx_in, "trace-ins"), of(ledger.tx_out, "trace-outs")
+    own = Ledger(new, ins, outs)
+    mixes = coinjoin_flags(own).select("txid", F.col("coinjoin").alias("mix"))
+    new = materialize(new.join(mixes, "txid"), "trace-new")
+    own = Ledger(new, ins, outs)
+    solved = _solved(new, ins, outs, count, cap, min_sats, least)
+    day = to_day(F.col("time"))
+    info = new.join(solved["strangers"].drop("n_out", "mix"), "txid", "left").fillna(0, ["all_inputs", "outside"]).fillna(False, ["sweep"])
+    info = info.withColumn("stop", ~F.col("mix") & F.col("sweep") & (F.col("n_out") <= 2)).withColumn("batch_sweep", F.col("sweep") & (F.col("n_out") > 2))
+    info = materialize(info.withColumn("date", day).withColumn("depth", F.lit(depth)), "trace-info")
+    labels = output_labels(own, round_unit, new.select("txid", F.col("mix").alias("coinjoin")))
+    hops = materialize(_hops(info, labels, solved["followed"]), "trace-hops")
+    links = materialize(_links(info, ins, hops), "trace-links")
+    stats = {"candidate_blocks": touching, "blocks_touching": touching, "spending_txs": seen["n"]}
+    return {"new": new, "ins": ins, "outs": outs, "info": info, "hops": hops, "links": links, "stats": stats} | {k: solved[k] for k in ("followed", "truncated", "reached", "low")}
+
+
+def _solved(new: DataFrame, ins: DataFrame, outs: DataFrame, count: int, cap: int | None, min_sats: int, least: int) -> dict:
+    """Solve a level: followed (address, height, ord, n), strangers (txid, n_out, mix, all_inputs, outside, sample, sweep), and what was counted."""
+    firsts = ins.where("address IS NOT NULL").groupBy("txid", "address").agg(F.min("in_index").alias("at"), F.first("known").alias("known"))
     inputs = firsts.join(new.select("txid", "ord", "n_out", "mix"), "txid")
-    inputs = inputs.join(visited.withColumn("known", F.lit(True)), "address", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    inputs = materialize(inputs, "level-inputs")
-    outputs = ledger.tx_out.where(F.col("address").isNotNull() & (F.col("sats") >= min_sats)).join(new.where("NOT mix").select("txid", "ord", "height"), "txid")
-    outputs = materialize(outputs.join(visited, "address", "left_anti").select("txid", "address", "n", "ord", "height"), "level-outputs")
-    room = None if cap is None else max(0, cap - visited.count())
+    outputs = outs.where(F.col("address").isNotNull() & ~F.col("known") & (F.col("sats") >= min_sats)).join(new.where("NOT mix").select("txid", "ord", "height"), "txid")
+    room = None if cap is None else max(0, cap - count)
+    sums = {"n": "count(*)", "low": "min(height)"}
 
-    def reach(stops: DataFrame | None) -> tuple[DataFrame, bool]:
+    def reach(stops: DataFrame | None) -> tuple[DataFrame, dict, bool]:
         live = outputs if stops is None else outputs.join(stops, "txid", "left_anti")
-        reached = live.groupBy("address").agg(F.min(F.struct("ord", "n", "height")).alias("x")).select("address", F.col("x.ord").alias("ord"), F.col("x.n").alias("n"), F.col("x.height").alias("height"))
-        reached = materialize(reached, "level-reached")
-        if room is None or reached.count() <= room:
-            return reached, False
-        return materialize(reached.orderBy("ord", "n").limit(room), "level-capped"), True
+        first = live.groupBy("address").agg(F.min(F.struct("ord", "n", "height")).alias("x")).select("address", "x.ord", "x.n", "x.height")
+        first, seen = measured(first, "level-reached", **sums)
+        if room is None or seen["n"] <= room:
+            return first, seen, False
+        return *measured(first.orderBy("ord", "n").limit(room), "level-capped", **sums), True
 
-    def strangers(reached: DataFrame) -> DataFrame:
+    def strangers(reached: DataFrame) -> tuple[DataFrame, dict]:
         since = reached.select("address", F.col("ord").alias("since"))
         seen = inputs.join(since, "address", "left").withColumn("outside", ~F.col("known") & (F.col("since").isNull() | (F.col("since") >= F.col("ord"))))
         lists = seen.groupBy("txid", "n_out", "mix").agg(
             F.count("*").alias("all_inputs"), F.count_if("outside").alias("outside"), F.array_sort(F.collect_list(F.when(F.col("outside"), F.struct("at", "address")))).alias("who")
         )
-        return materialize(lists.withColumn("sample", F.slice(F.transform("who", lambda x: x["address"]), 1, SAMPLE)).drop("who"), "level-strangers")
+        lists = lists.withColumn("sample", F.slice(F.transform("who", lambda x: x["address"]), 1, SAMPLE)).drop("who")
+        lists = lists.withColumn("sweep", (F.col("outside") >= least) & F.lit(least > 0)).withColumn("ends", F.col("sweep") & ~F.col("mix") & (F.col("n_out") <= 2))
+        return measured(lists, "level-strangers", n="count_if(ends)", h="sum(CASE WHEN ends THEN xxhash64(txid) & 1099511627775 END)")
 
-    stops, before = None, None
+    stops, before = None, {"n": 0, "h": None}
     while True:
-        reached, truncated = reach(stops)
-        found = strangers(reached)
-        if least <= 0:
-            return {"followed": reached, "strangers": found.withColumn("sweep", F.lit(False)), "stops": found.where("false").select("txid"), "truncated": truncated}
-        stops = found.where(f"NOT mix AND n_out <= 2 AND outside >= {least}").select("txid")
-        now = tuple(stops.agg(F.count("*"), F.sum(F.xxhash64("txid").bitwiseAND(F.lit((1 << 40) - 1)))).first())
-        if now == before or (before is None and now[0] == 0):
-            return {"followed": reached, "strangers": found.withColumn("sweep", F.col("outside") >= least), "stops": stops, "truncated": truncated}
-        before = now
-
-
-def _records(ledger: Ledger, new: DataFrame, labels: DataFrame, level: dict, depth: int) -> dict[str, DataFrame]:
-    day = to_day(F.col("time"))
-    info = new.join(level["strangers"].drop("n_out", "mix"), "txid", "left").fillna(0, ["all_inputs", "outside"]).fillna(False, ["sweep"])
-    info = info.join(level["stops"].withColumn("stop", F.lit(True)), "txid", "left").withColumn("stop", F.coalesce("stop", F.lit(False)) & ~F.col("mix"))
-    info = materialize(info.withColumn("batch_sweep", F.col("sweep") & (F.col("n_out") > 2)).withColumn("date", day).withColumn("depth", F.lit(depth)), "level-info")
-    values = ledger.tx_in.where("address IS NOT NULL").join(info.select("txid"), "txid", "left_semi").groupBy("txid", "address").agg(F.sum("sats").alias("sats"))
-    spent = info.select("txid", "height", "time", "ord", F.explode("spenders").alias("address")).join(values, ["txid", "address"], "left")
-    back = ledger.tx_out.groupBy("txid", "address").agg(F.sum("sats").alias("returned"))
-    activity = spent.join(back, ["txid", "address"], "left").fillna(0, ["sats", "returned"])
-    traced = spent.groupBy("txid").agg(F.sum("sats").alias("traced_sats"))
-    stopped = info.join(traced, "txid", "left").fillna(0, ["traced_sats"])
-    common = ("depth", "height", "date", "txid", "ord", "spenders")
-    hops = (
-        info.where("NOT mix AND NOT stop")
-        .select(*common)
-        .join(labels.where("address IS NOT NULL"), "txid")
-        .join(level["followed"].select(F.col("address"), F.col("ord"), F.col("n"), F.lit(True).alias("followed")), ["address", "ord", "n"], "left")
-        .select(*common, "n", "address", "sats", "label", "reasons", F.coalesce("followed", F.lit(False)).alias("followed"))
-    )
+        reached, counted, truncated = reach(stops)
+        found, now = strangers(reached)
+        if now == before:
+            return {"followed": reached, "strangers": found.drop("ends"), "truncated": truncated, "reached": counted["n"], "low": counted["low"] or 0}
+        before, stops = now, found.where("ends").select("txid")
+
+
+COMMON = ("depth", "height", "date", "txid", "ord", "spenders")
+
+
+def _hops(info: DataFrame, labels: DataFrame, followed: DataFrame) -> DataFrame:
+    chosen = followed.select("address", "ord", "n", F.lit(True).alias("followed"))
+    rows = info.where("NOT mix AND NOT stop").select(*COMMON).join(labels.where("address IS NOT NULL"), "txid").join(chosen, ["address", "ord", "n"], "left")
+    return rows.select(*COMMON, "n", "address", "sats", "label", "reasons", F.coalesce("followed", F.lit(False)).alias("followed"))
+
+
+def _links(info: DataFrame, ins: DataFrame, hops: DataFrame) -> DataFrame:
+    """(src, dst, kind, txid, height, batch_sweep): inputs spent together, and change."""
     plain = info.where("NOT mix AND NOT stop").select("txid", "height", "spenders", "batch_sweep")
-    firsts = ledger.tx_in.where("address IS NOT NULL").join(plain.select("txid"), "txid", "left_semi").groupBy("txid", "address").agg(F.min("in_index").alias("at"))
+    firsts = ins.where("address IS NOT NULL").groupBy("txid", "address").agg(F.min("in_index").alias("at"))
     lead = firsts.groupBy("txid").agg(F.min(F.struct("at", "address")).alias("x"), F.count("*").alias("k")).where("k > 1").select("txid", F.col("x.address").alias("src"))
     together = firsts.join(lead, "txid").join(plain, "txid").where("src <> address").select("src", F.col("address").alias("dst"), F.lit("common input").alias("kind"), "txid", "height", "batch_sweep")
     change = hops.where(F.col("label") == CHANGE).join(plain.select("txid", "batch_sweep"), "txid")
-    change = change.select(F.col("spenders")[0].alias("src"), F.col("address").alias("dst"), F.lit("change").alias("kind"), "txid", "height", "batch_sweep")
-    outs = ledger.tx_out.join(info.where("stop").select("txid"), "txid", "left_semi").groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("n", "address", "sats"))).alias("outputs"))
+    return together.union(change.select(F.col("spenders")[0].alias("src"), F.col("address").alias("dst"), F.lit("change").alias("kind"), "txid", "height", "batch_sweep"))
+
+
+def _tables(level: dict, depth: int) -> dict[str, DataFrame]:
+    """What a level adds to a Trace's tables."""
+    info, ins, outs = level["info"], level["ins"], level["outs"]
+    values = ins.where("address IS NOT NULL").groupBy("txid", "address").agg(F.sum("sats").alias("sats"))
+    spent = info.select("txid", "height", "time", "ord", F.explode("spenders").alias("address")).join(values, ["txid", "address"], "left")
+    back = outs.groupBy("txid", "address").agg(F.sum("sats").alias("returned"))
+    activity = spent.join(back, ["txid", "address"], "left").fillna(0, ["sats", "returned"])
+    stopped = info.where("mix OR stop").join(spent.groupBy("txid").agg(F.sum("sats").alias("traced_sats")), "txid", "left").fillna(0, ["traced_sats"])
+    to = outs.join(info.where("stop").select("txid"), "txid", "left_semi").groupBy("txid").agg(F.array_sort(F.collect_list(F.struct("n", "address", "sats"))).alias("outputs"))
     return {
         "transactions": info.select("txid", "height", "date", "all_inputs", "outside", "sample", "n_out", "batch_sweep"),
-        "hops": hops,
-        "coinjoin_stops": stopped.where("mix").select(*common, "traced_sats"),
-        "service_stops": stopped.where("stop").join(outs, "txid", "left").select(*common, "all_inputs", "outside", "outputs", "traced_sats"),
-        "links": together.union(change),
+        "hops": level["hops"],
+        "coinjoin_stops": stopped.where("mix").select(*COMMON, "traced_sats"),
+        "service_stops": stopped.where("stop").join(to, "txid", "left").select(*COMMON, "all_inputs", "outside", "outputs", "traced_sats"),
+        "links": level["links"],
         "activity": activity.select("txid", "address", "height", "time", "ord", "sats", "returned"),
     }
 

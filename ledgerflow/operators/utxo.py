@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import scripts as S
@@ -10,7 +10,8 @@ from ledgerflow.functions import scripts as S
 
 def classified(utxo: DataFrame, bin_size: int = 1000) -> DataFrame:
     """Add script_type, key_hash and bin to (height, coinbase, sats, script)."""
-    return utxo.withColumn("script_type", S.once(S.script_type(F.col("script")))).withColumn("key_hash", S.key_hash(F.col("script"), F.col("script_type"))).withColumn("bin", S.age_bin(F.col("height"), bin_size))
+    typed = utxo.withColumn("script_type", S.once(S.script_type(F.col("script"))))
+    return typed.withColumn("key_hash", S.once(S.key_hash(F.col("script"), F.col("script_type")))).withColumn("bin", S.age_bin(F.col("height"), bin_size))
 
 
 def by_type(coins: DataFrame) -> DataFrame:
@@ -27,9 +28,13 @@ def hash_targets(coins: DataFrame) -> DataFrame:
 
 
 def with_revealed(coins: DataFrame, revealed: DataFrame) -> DataFrame:
-    """Add revealed: whether the coin's hash is among (key_hash) of the revealed ones."""
-    known = revealed.select("key_hash").where("key_hash IS NOT NULL").distinct().withColumn("revealed", F.lit(True))
-    return coins.join(known, "key_hash", "left").withColumn("revealed", F.coalesce("revealed", F.lit(False)))
+    """Add revealed: whether the coin's hash is among (key_hash) of the revealed ones.
+
+    Coins without a hash are dealt out by an empty key of many kinds, of a length that no hash has, so that they don't meet in one task.
+    """
+    known = revealed.select(F.col("key_hash").alias("known")).where("known IS NOT NULL").distinct()
+    key = F.coalesce("key_hash", F.unhex(F.hex(F.pmod(F.xxhash64("height", "sats", "script"), F.lit(4096)))))
+    return coins.withColumn("join_key", S.once(key)).join(known, F.col("join_key") == F.col("known"), "left").withColumn("revealed", F.col("known").isNotNull()).drop("join_key", "known")
 
 
 def revealed_by_type(marked: DataFrame) -> DataFrame:
@@ -46,18 +51,22 @@ def totals(marked: DataFrame, bin_size: int = 1000, dormant_blocks: int = 5 * 52
     """One row: coins and satoshis, by visibility, dormancy, and early coinbase keys.
 
     The tip is the greatest height unless given. Without a reveal scan (``measured``) revealed and exposed figures are null.
+    Early keys are coinbase outputs to a key; where coins say whether they are stored as a key (``compact_key``), those only.
     """
+    early = (F.col("script_type") == S.P2PK) & F.col("coinbase")
+    if "compact_key" in marked.columns:
+        early &= F.col("compact_key")
+    cells = marked.groupBy("script_type", "bin", "revealed", early.alias("early")).agg(F.count("*").alias("coins"), F.sum("sats").alias("sats"), F.max("height").alias("top"))
+    # a row for each class and age bin from here on
+    height = F.lit(tip).cast("int") if tip is not None else F.max("top").over(Window.partitionBy())
+    cells = cells.withColumn("tip", height)
     kind, sats = F.col("script_type"), F.col("sats")
-    if tip is None:
-        tip = marked.agg(F.max("height")).first()[0]
-    height = F.lit(tip).cast("int")
-    old = S.is_dormant(F.col("bin"), height, bin_size, dormant_blocks)
+    old = S.is_dormant(F.col("bin"), F.col("tip"), bin_size, dormant_blocks)
     visible, hidden, hit = S.key_in_output(kind), S.hash_only(kind), F.col("revealed") & S.hash_only(kind)
     take = lambda c: F.coalesce(F.sum(F.when(c, sats)), F.lit(0)).cast("long")
     maybe = lambda c: c if measured else F.lit(None).cast("long")
-    early = (kind == S.P2PK) & F.col("coinbase")
-    return marked.agg(
-        F.count("*").alias("coins"),
+    return cells.agg(
+        F.coalesce(F.sum("coins"), F.lit(0)).alias("coins"),
         F.coalesce(F.sum("sats"), F.lit(0)).alias("sats"),
         take(visible).alias("key_in_output"),
         take(hidden).alias("hash_only"),
@@ -67,9 +76,9 @@ def totals(marked: DataFrame, bin_size: int = 1000, dormant_blocks: int = 5 * 52
         take(old).alias("dormant"),
         take(old & visible).alias("dormant_key_in_output"),
         maybe(take(old & (visible | hit))).alias("dormant_exposed"),
-        F.count_if(early).alias("coinbase_p2pk_coins"),
-        take(early).alias("coinbase_p2pk"),
-        height.alias("tip"),
+        F.coalesce(F.sum(F.when(F.col("early"), F.col("coins"))), F.lit(0)).alias("coinbase_p2pk_coins"),
+        take(F.col("early")).alias("coinbase_p2pk"),
+        F.max("tip").alias("tip"),
     )
 
 

@@ -11,6 +11,7 @@ from ledgerflow.operators import ledger as L
 from ledgerflow.operators import outflow as O
 from ledgerflow.operators import trace as T
 from ledgerflow.operators import utxo as U
+from ledgerflow.session import materialize
 from ledgerflow.sources import views as V
 
 ROUND = 3000
@@ -135,13 +136,13 @@ ef AS (
 
 def _trace1(spark, d):
     """Depth 1, a floor above every output, sweeps at SWEEP strangers; with memberships."""
-    found = T.trace(V.ledger(spark, d), V.seeds(spark, d), max_depth=1, max_addresses=None, min_sats=NOTHING_FOLLOWED, service_min_inputs=SWEEP, round_unit=ROUND)
+    found = T.trace(L.stored(V.ledger(spark, d)), V.seeds(spark, d), max_depth=1, max_addresses=None, min_sats=NOTHING_FOLLOWED, service_min_inputs=SWEEP, round_unit=ROUND)
     full, core = C.two_views(found.links, found.seeds)
     return found, full, core
 
 
 def _trace2(spark, d):
-    return T.trace(V.ledger(spark, d), V.seeds(spark, d), max_depth=2, max_addresses=None, service_min_inputs=0, round_unit=ROUND)
+    return T.trace(L.stored(V.ledger(spark, d)), V.seeds(spark, d), max_depth=2, max_addresses=None, service_min_inputs=0, round_unit=ROUND)
 
 
 def _marked(spark, d):
@@ -204,9 +205,9 @@ def cluster_summary(spark, d):
 
 def cluster_outflow(spark, d):
     found, full, core = _trace1(spark, d)
-    out = O.cluster_outflow(found, C.clusters(found.links, found.seeds, full, core), full, core)
-    named = C.clusters(found.links, found.seeds, full, core).select("cluster", "full")
-    return out.join(named, "cluster").select("full", "seeds", *O.MEASURES, "spending_txs")
+    listed = materialize(C.clusters(found.links, found.seeds, full, core), "clusters")
+    out = O.cluster_outflow(found, listed, full, core)
+    return out.join(listed.select("cluster", "full"), "cluster").select("full", "seeds", *O.MEASURES, "spending_txs")
 
 
 def entity_outflow(spark, d):
@@ -226,7 +227,7 @@ def top_destinations(spark, d):
 
 def full_trace(spark, d):
     """Three levels with sweeps and a cap, as hops: the order within a level matters."""
-    found = T.trace(V.ledger(spark, d), V.seeds(spark, d), max_depth=3, max_addresses=400, min_sats=2000, service_min_inputs=SWEEP, round_unit=ROUND)
+    found = T.trace(L.stored(V.ledger(spark, d)), V.seeds(spark, d), max_depth=3, max_addresses=400, min_sats=2000, service_min_inputs=SWEEP, round_unit=ROUND)
     return found.hops.select("depth", "txid", "n", "address", "sats", "label", "followed")
 
 

@@ -37,13 +37,16 @@ def _load(path: str) -> dict:
 
 
 def _seeds(spark, args):
+    """Addresses of the command line, then those of the seed file, of one entry if asked for."""
     from ledgerflow.sources import sanctions
 
-    rows = [(a, None, None) for a in args.address or ()]
-    entries = spark.createDataFrame(rows, "address string, sdn_ref string, sdn_name string")
-    if args.seeds:
-        entries = entries.unionByName(sanctions.read_seeds(spark, args.seeds))
-    return sanctions.select_seeds(entries, args.sdn)
+    given = spark.createDataFrame([(-1, a, None, None) for a in args.address or ()], sanctions.SEEDS)
+    if not args.seeds:
+        if args.sdn:
+            raise ValueError("--sdn needs --seeds")
+        return sanctions.select_seeds(given)
+    listed = sanctions.of_entry(sanctions.read_seeds(spark, args.seeds), args.sdn)
+    return sanctions.select_seeds(given.unionByName(listed))
 
 
 def node(args) -> int:
@@ -106,22 +109,35 @@ def dump_utxos(args) -> int:
     return 0
 
 
+def _beside(path: str, suffix: str) -> str:
+    return str(Path(path).with_suffix(suffix))
+
+
+def _revealed(spark, path: str, summary: str, base_hash: str):
+    """Matches of a reveal scan and its summary, if it was made for this snapshot."""
+    if not Path(summary).exists():
+        raise ValueError(f"{summary} is missing; reveal-scan writes it beside its matches")
+    said = json.loads(Path(summary).read_text())
+    if said.get("base_hash") != base_hash:
+        raise ValueError(f"{path} was made for a different snapshot")
+    return spark.read.parquet(path), {k: v for k, v in said.items() if k != "base_hash"}
+
+
 def utxo_stats(args) -> int:
     from ledgerflow.operators import utxo as U
     from ledgerflow.sources import snapshot as S
 
     spark = _spark()
-    data = Path(args.snapshot).read_bytes()
-    header = S.read_header(data)
+    header = S.header_of(args.snapshot)
     coins = U.classified(S.read_snapshot(spark, args.snapshot), args.bin_size)
-    empty = spark.createDataFrame([], "key_hash binary")
-    marked = U.with_revealed(coins, spark.read.parquet(args.revealed) if args.revealed else empty)
-    said = json.loads(Path(args.info).read_text()) if args.info else None
+    found, reuse = spark.createDataFrame([], "key_hash binary"), None
+    if args.revealed:
+        found, reuse = _revealed(spark, args.revealed, args.reuse or args.revealed.rstrip("/") + ".json", header.base_hash)
+    marked = U.with_revealed(coins, found)
+    info = args.info or _beside(args.snapshot, ".json")
+    said = json.loads(Path(info).read_text()) if Path(info).exists() else None
     top = marked.agg(F.max("height"), F.count("*")).first()
-    checks = S.checks(header, top[1], S.set_hash(data) if args.verify else None, said)
-    reuse = json.loads(Path(args.reuse).read_text()) if args.reuse else None
-    if args.revealed and reuse is None:
-        raise ValueError("--revealed needs --reuse, the scan's summary")
+    checks = S.checks(header, top[1], S.hash_of(args.snapshot) if args.verify else None, said)
     snapshot = {"network": header.network, "base_hash": header.base_hash, "base_height": (said or {}).get("base_height", top[0] or 0), "date": None, "coins": header.coins}
     report = reports.utxo_report(marked, snapshot, checks, args.bin_size, reuse=reuse)
     _emit(report, args.out)
@@ -129,18 +145,31 @@ def utxo_stats(args) -> int:
 
 
 def reveal_scan(args) -> int:
+    """Scan the blocks of a folder, or of the node, for what they reveal of a snapshot's coins; an interrupted scan goes on."""
     from ledgerflow.operators import utxo as U
+    from ledgerflow.plans.progress import Progress
+    from ledgerflow.session import materialize
+    from ledgerflow.sources import node as N
     from ledgerflow.sources import rawblocks as B
     from ledgerflow.sources import snapshot as S
 
     spark = _spark()
-    blocks = B.read_blocks(spark, args.blocks)
-    targets = U.hash_targets(U.classified(S.read_snapshot(spark, args.snapshot)))
-    B.reveal_scan(blocks, targets).write.mode("overwrite").parquet(args.out)
-    sums = B.range_metrics(blocks).agg(F.sum("blocks"), F.sum("inputs")).first()
-    span = blocks.agg(F.min("height"), F.max("height")).first()
-    reuse = {"start_height": span[0], "end_height": span[1], "blocks": sums[0], "inputs": sums[1], "targets": targets.count(), "revealed": spark.read.parquet(args.out).count()}
-    Path(args.summary).write_text(json.dumps(reuse)) if args.summary else print(json.dumps(reuse))
+    header = S.header_of(args.snapshot)
+    targets = materialize(U.hash_targets(U.classified(S.read_snapshot(spark, args.snapshot))), "targets")
+    if args.blocks:
+        stored = B.read_blocks(spark, args.blocks)
+        stop = args.stop if args.stop is not None else stored.agg(F.max("height")).first()[0]
+        blocks_of = lambda heights: stored.where(F.col("height").between(heights.start, heights.stop - 1))
+    else:
+        live = _node()
+        stop = args.stop if args.stop is not None else live.tip()
+        blocks_of = lambda heights: N.fetch_raw_blocks(spark, live, heights)
+    work = args.work or args.out.rstrip("/") + ".work"
+    matched, sums = B.scan_chain(spark, blocks_of, stop, targets, work, header.base_hash, told=Progress("scanning", "ranges"))
+    matched.write.mode("overwrite").parquet(args.out)
+    reuse = {"start_height": 0, "end_height": stop, "blocks": sums["blocks"], "inputs": sums["inputs"], "targets": targets.count(), "revealed": spark.read.parquet(args.out).count()}
+    Path(args.summary or args.out.rstrip("/") + ".json").write_text(json.dumps(reuse | {"base_hash": header.base_hash}))
+    print(json.dumps(reuse))
     return 0
 
 
@@ -173,7 +202,11 @@ def validate(args) -> int:
 
 def report(args) -> int:
     found = _load(args.report)
-    text = render.utxo_page(found, _load(args.exposure) if args.exposure else None) if reports.kind_of(found) == "utxo-set" else render.trace_page(found, args.title, Path(args.notes).read_text() if args.notes else "")
+    notes = Path(args.notes).read_text() if args.notes else ""
+    if reports.kind_of(found) == "utxo-set":
+        text = render.utxo_page(found, _load(args.exposure) if args.exposure else None, args.title or "Visible keys", notes)
+    else:
+        text = render.trace_page(found, args.title, notes)
     Path(args.out).write_text(text)
     return 0
 
@@ -207,10 +240,10 @@ def parser() -> argparse.ArgumentParser:
     command("exposure", exposure, *seeds, ("--ledger", {"required": True}), ("--utxo", {"required": True}), out)
     command("show", show, ("report", {}), ("--rows", {"type": int, "default": 20}))
     command("validate", validate, ("report", {}))
-    command("report", report, ("report", {}), ("--exposure", {}), ("--notes", {}), ("--title", {"default": "Trace"}), ("--out", {"required": True}))
+    command("report", report, ("report", {}), ("--exposure", {}), ("--notes", {}), ("--title", {}), ("--out", {"required": True}))
     command("dump-utxos", dump_utxos, ("name", {}), out)
     command("utxo-stats", utxo_stats, ("snapshot", {}), ("--verify", {"action": "store_true"}), ("--revealed", {}), ("--reuse", {}), ("--info", {}), ("--bin-size", {"type": int, "default": 1000}), out)
-    command("reveal-scan", reveal_scan, ("snapshot", {}), ("blocks", {}), ("--out", {"required": True}), ("--summary", {}))
+    command("reveal-scan", reveal_scan, ("snapshot", {}), ("--blocks", {}), ("--stop", {"type": int}), ("--work", {}), ("--out", {"required": True}), ("--summary", {}))
     command("scan-status", scan_status)
     command("scan-abort", scan_abort)
     return top

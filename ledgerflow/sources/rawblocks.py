@@ -1,16 +1,20 @@
-"""Serialized blocks to inputs, and the scan that tells which targets the chain has revealed."""
+"""Serialized blocks to inputs, and the resumable scan that tells which targets the chain has revealed."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.functions.reveal import revealed_hashes
+from ledgerflow.functions.reveal import Spend, form_of
+from ledgerflow.session import materialize, scratch
 
 INPUTS = "height int, tx_index int, in_index int, script_sig binary, witness array<binary>"
+#: Heights in a range, the unit that a scan logs and resumes by; and ranges that one job scans.
+RANGE, TOGETHER = 1000, 64
 
 
 class _Reader:
@@ -77,17 +81,117 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"(\d+)[^/\d]*$", 1).cast("int").alias("height"), F.col("content").alias("raw"))
 
 
+SCANNED = "start int, blocks long, inputs long, reveals long, bytes long, key_hash binary"
+
+
+def scan_blocks(blocks: DataFrame, size: int = RANGE) -> DataFrame:
+    """One pass over (height, raw) blocks: (start, blocks, inputs, reveals, bytes, key_hash).
+
+    A block gives a row of counts, without a hash, and a row for each distinct hash that it reveals, without counts. start
+    is the first height of the block's range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for height, raw in zip(batch.column("height").to_pylist(), batch.column("raw"), strict=True):
+                raw, inputs, reveals, hashes = raw.as_py(), 0, 0, {}
+                for _, _, script_sig, witness in block_inputs(raw):
+                    spend = Spend(script_sig, tuple(witness))
+                    shown = form_of(spend).shows(spend)
+                    inputs, reveals = inputs + 1, reveals + len(shown)
+                    hashes.update(dict.fromkeys(shown))
+                n = len(hashes)
+                counts = [pa.array([v] + [None] * n, pa.int64()) for v in (1, inputs, reveals, len(raw))]
+                yield pa.RecordBatch.from_arrays([pa.array([height // size * size] * (n + 1), pa.int32()), *counts, pa.array([None, *hashes], pa.binary())], names=[x.split()[0] for x in SCANNED.split(", ")])
+
+    return blocks.select("height", "raw").mapInArrow(run, SCANNED)
+
+
+def matches(scanned: DataFrame, targets: DataFrame) -> DataFrame:
+    """(key_hash): the targets among scanned hashes. Hashes are made distinct in each task before they meet."""
+    return scanned.where("key_hash IS NOT NULL").select("key_hash").distinct().join(targets.select("key_hash").distinct(), "key_hash", "left_semi")
+
+
+def metrics(scanned: DataFrame) -> DataFrame:
+    """(start, blocks, inputs, reveals, bytes) per range of heights."""
+    return scanned.where("blocks IS NOT NULL").groupBy("start").agg(*[F.sum(c).alias(c) for c in ("blocks", "inputs", "reveals", "bytes")])
+
+
 def reveal_scan(blocks: DataFrame, targets: DataFrame) -> DataFrame:
-    """(key_hash): the targets that the blocks reveal. Each task keeps matches only, then distinct ones meet."""
-    found = revealed_hashes(raw_inputs(blocks)).select("key_hash")
-    return found.join(targets.select("key_hash").distinct(), "key_hash", "left_semi").distinct()
+    """(key_hash): the targets that the blocks reveal."""
+    return matches(scan_blocks(blocks), targets)
 
 
-def range_metrics(blocks: DataFrame, size: int = 1000) -> DataFrame:
+def range_metrics(blocks: DataFrame, size: int = RANGE) -> DataFrame:
     """(start, blocks, inputs, reveals, bytes) per range of heights, for the log of a scan."""
-    start = (F.floor(F.col("height") / size) * size).cast("int").alias("start")
-    base = blocks.groupBy(start).agg(F.count("*").alias("blocks"), F.sum(F.octet_length("raw")).alias("bytes"))
-    inputs = raw_inputs(blocks)
-    counts = inputs.groupBy(start).agg(F.count("*").alias("inputs"))
-    reveals = revealed_hashes(inputs).groupBy(start).agg(F.count("*").alias("reveals"))
-    return base.join(counts, "start", "left").join(reveals, "start", "left").fillna(0)
+    return metrics(scan_blocks(blocks, size))
+
+
+def scan_chain(
+    spark: SparkSession, blocks_of: Callable[[range], DataFrame], stop: int, targets: DataFrame, path: str, base_hash: str = "", size: int = RANGE, together: int = TOGETHER, told: Callable[[int, int], None] | None = None
+) -> tuple[DataFrame, dict]:
+    """Scan heights 0 to ``stop``, range by range, resuming what is under ``path``: the revealed targets, and the sums.
+
+    ``blocks_of`` gives the (height, raw) blocks of some heights. Each job scans several ranges; it stores their matches first
+    and then their log, so that a job that was cut off is run again and replaces what it had stored. A path that was begun
+    for another set of targets (``base_hash``) or another size of ranges is refused.
+    """
+    rule = {"base_hash": base_hash, "size": size}
+    if (began := _rule(spark, path)) not in (None, rule):
+        raise ValueError(f"{path} was made for a different snapshot or size: {began}")
+    if began is None:
+        spark.createDataFrame([(json.dumps(rule),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/rule")
+    starts = range(0, stop + 1, size)
+    last = {starts[-1]} if (stop + 1) % size else set()  # a range cut short at an earlier stop is scanned again
+    done = {r["start"] for r in _log(spark, path).collect() if r["blocks"] == size or r["start"] in last and r["blocks"] == stop + 1 - r["start"]}
+    todo = [s for s in starts if s not in done]
+    for i in range(0, len(todo), together):
+        part = todo[i : i + together]
+        if told:
+            told(len(starts) - len(todo) + i, len(starts))
+        with scratch():
+            heights = [range(s, min(s + size, stop + 1)) for s in part]
+            seen = materialize(scan_blocks(_together([blocks_of(h) for h in _merged(heights)]), size), "scanned")
+            matches(seen, targets).write.mode("overwrite").parquet(f"{path}/matches/part={part[0]}")
+            metrics(seen).coalesce(1).write.mode("overwrite").parquet(f"{path}/log/part={part[0]}")
+    if told:
+        told(len(starts), len(starts))
+    sums = _log(spark, path).where(F.col("start") <= stop).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("blocks", "inputs", "reveals", "bytes")]).first().asDict()
+    if sums["blocks"] != stop + 1:
+        raise ValueError(f"{stop + 1 - sums['blocks']} blocks are missing; run the scan again")
+    return spark.read.schema("key_hash binary").parquet(f"{path}/matches").select("key_hash").distinct(), sums | {"scan_height": stop, "base_hash": base_hash}
+
+
+def _merged(ranges: list[range]) -> list[range]:
+    """Ranges that follow each other as one."""
+    out: list[range] = []
+    for r in ranges:
+        if out and out[-1].stop == r.start:
+            out[-1] = range(out[-1].start, r.stop)
+        else:
+            out.append(r)
+    return out
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _rule(spark: SparkSession, path: str) -> dict | None:
+    return json.loads(spark.read.text(f"{path}/rule").first()[0]) if _exists(spark, f"{path}/rule/_SUCCESS") else None
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """The latest log of every range."""
+    schema = "start int, blocks long, inputs long, reveals long, bytes long, part int"
+    if not _exists(spark, f"{path}/log"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/log").groupBy("start").agg(F.max(F.struct("blocks", "inputs", "reveals", "bytes")).alias("x")).select("start", "x.*")

@@ -54,19 +54,39 @@ def listed_addresses(spark: SparkSession, path: str, ticker: str = "XBT") -> tup
     return rows.where(good).orderBy("address", "sdn_ref", "sdn_name"), rows.where(~good).select(F.col("address").alias("value")).distinct().orderBy("value")
 
 
+#: Seeds in the order of their file: ``place`` says which comes first.
+SEEDS = "place long, address string, sdn_ref string, sdn_name string"
+
+
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """(address, sdn_ref, sdn_name) of a JSON report with ``addresses``, or of a text file with one address a line and # comments."""
+    """SEEDS of a JSON report with ``addresses``, or of a text file with one address a line and # comments."""
     if path.endswith(".json"):
         rows = spark.read.schema("addresses array<struct<address:string,sdn_ref:string,sdn_name:string>>").option("multiLine", "true").json(path)
-        return rows.select(F.explode("addresses").alias("a")).select("a.*")
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("address")).where("address <> ''")
-    return lines.select("address", F.lit(None).cast("string").alias("sdn_ref"), F.lit(None).cast("string").alias("sdn_name"))
+        return rows.select(F.posexplode("addresses").alias("place", "a")).select(F.col("place").cast("long").alias("place"), "a.*")
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("place"), F.trim(F.regexp_replace("value", "#.*", "")).alias("address")).where("address <> ''")
+    return lines.select("place", "address", F.lit(None).cast("string").alias("sdn_ref"), F.lit(None).cast("string").alias("sdn_name"))
+
 
+def of_entry(seeds: DataFrame, sdn_ref: str | None) -> DataFrame:
+    """The seeds of one entry, or all; an entry without any is a ValueError."""
+    if sdn_ref is None:
+        return seeds
+    own = seeds.where(F.col("sdn_ref") == sdn_ref)
+    if own.isEmpty():
+        raise ValueError(f"no seed addresses for entry {sdn_ref}")
+    return own
 
-def select_seeds(entries: DataFrame, sdn_ref: str | None = None) -> DataFrame:
-    """One row per address, of one entry if asked for; the first entry's reference counts and the last one's name. None left: ValueError."""
-    rows = entries if sdn_ref is None else entries.where(F.col("sdn_ref") == sdn_ref)
-    out = rows.groupBy("address").agg(F.min("sdn_ref").alias("sdn_ref"), F.max_by("sdn_name", F.coalesce("sdn_ref", F.lit(""))).alias("sdn_name"))
+
+def select_seeds(seeds: DataFrame) -> DataFrame:
+    """(address, sdn_ref, sdn_name), one row per address of SEEDS: the reference that comes first and the name that comes last.
+
+    Rows without a reference name nothing. No address at all is a ValueError.
+    """
+    ref = F.nullif("sdn_ref", F.lit(""))
+    name = F.when(ref.isNotNull(), F.nullif("sdn_name", F.lit("")))
+    first = F.min(F.when(ref.isNotNull(), F.struct("place", ref.alias("x"))))
+    last = F.max(F.when(name.isNotNull(), F.struct("place", name.alias("x"))))
+    out = seeds.groupBy("address").agg(first.alias("first"), last.alias("last")).select("address", F.col("first.x").alias("sdn_ref"), F.col("last.x").alias("sdn_name"))
     if out.isEmpty():
-        raise ValueError("no seed addresses" + (f" for entry {sdn_ref}" if sdn_ref else ""))
+        raise ValueError("no seed addresses")
     return out

@@ -1,17 +1,22 @@
 """Binary snapshots of unspent outputs: header, coins, the set's hash, and a writer.
 
 A file's numbers have no fixed width, so it can't be cut blindly. One sequential pass notes where every so many coins
-a transaction begins; partitions then decode their stretch in parallel. The set's hash depends on the order of all
-coins and is a pass of its own.
+a transaction begins; that index is stored beside the file and used again. Partitions then decode their stretch in
+parallel. The set's hash depends on the order of all coins and is a pass of its own. Either pass holds a window of the
+file, never the whole. Paths are local or any that pyarrow's file systems open (hdfs://, s3://, ...).
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -20,6 +25,8 @@ from ledgerflow.functions.crypto import lift_key
 # Fixed values of the format.
 MAGIC, VERSION, HEADER, LONGEST_SCRIPT = b"utxo\xff", 2, 51, 10_000
 NETWORKS = {bytes.fromhex("f9beb4d9"): "main", bytes.fromhex("0b110907"): "test", bytes.fromhex("1c163f28"): "testnet4", bytes.fromhex("0a03cf40"): "signet", bytes.fromhex("fabfb5da"): "regtest"}
+#: Bytes of the file that a pass holds at a time.
+WINDOW = 1 << 22
 COINS = "txid string, vout long, height int, coinbase boolean, sats long, script string, compact_key boolean"
 
 
@@ -69,15 +76,30 @@ def pack_amount(sats: int) -> int:
 
 
 class _Coins:
-    """A cursor over the coins of a file's bytes."""
+    """A cursor over the coins of a file, through a window that moves on."""
 
-    def __init__(self, data: bytes, at: int = HEADER) -> None:
-        self.data, self.at = data, at
+    def __init__(self, file: BinaryIO, base: int = 0) -> None:
+        self.file, self.base, self.data, self.at = file, base, b"", 0
+
+    @property
+    def place(self) -> int:
+        """Bytes from the file's start."""
+        return self.base + self.at
+
+    def _more(self, n: int) -> None:
+        self.data, self.base, self.at = self.data[self.at :] + self.file.read(max(n, WINDOW)), self.place, 0
+
+    def ended(self) -> bool:
+        if self.at == len(self.data):
+            self._more(1)
+        return not self.data
 
     def take(self, n: int) -> bytes:
+        if self.at + n > len(self.data):
+            self._more(n)
+            if len(self.data) < n:
+                raise SnapshotError("the file ends in the middle of a coin")
         part = self.data[self.at : self.at + n]
-        if len(part) < n:
-            raise SnapshotError("the file ends in the middle of a coin")
         self.at += n
         return part
 
@@ -121,9 +143,9 @@ class _Coins:
         return vout, code, sats, self.take(kind - 6), False
 
 
-def index(data: bytes, every: int = 1 << 20) -> list[tuple[int, int, int]]:
+def index(file: BinaryIO, every: int = 1 << 20) -> list[tuple[int, int, int]]:
     """(start, end, coins) of stretches of about ``every`` coins that begin with a transaction."""
-    total, cursor, done = read_header(data).coins, _Coins(data), 0
+    total, cursor, done = read_header(file.read(HEADER)).coins, _Coins(file, HEADER), 0
     out, start, first = [], HEADER, 0
     while done < total:
         cursor.take(32)
@@ -132,26 +154,27 @@ def index(data: bytes, every: int = 1 << 20) -> list[tuple[int, int, int]]:
             cursor.skip_coin()
         done += n
         if done - first >= every or done >= total:
-            out.append((start, cursor.at, done - first))
-            start, first = cursor.at, done
+            out.append((start, cursor.place, done - first))
+            start, first = cursor.place, done
     if done != total:
         raise SnapshotError(f"the header says {total} coins, there are {done}")
-    if cursor.at != len(data):
-        raise SnapshotError(f"{len(data) - cursor.at} bytes follow the last coin")
+    if not cursor.ended():
+        raise SnapshotError("bytes follow the last coin")
     return out
 
 
-def _groups(data: bytes, at: int = 0) -> Iterator[tuple[bytes, list]]:
-    cursor = _Coins(data, at)
-    while cursor.at < len(data):
+def _groups(file: BinaryIO, base: int = 0) -> Iterator[tuple[bytes, list]]:
+    cursor = _Coins(file, base)
+    while not cursor.ended():
         txid = cursor.take(32)
         yield txid, [cursor.coin() for _ in range(cursor.size())]
 
 
-def set_hash(data: bytes) -> str:
+def set_hash(file: BinaryIO) -> str:
     """The order-dependent double SHA-256 over all coins, as the node software shows it."""
     digest = hashlib.sha256()
-    for txid, coins in _groups(data, HEADER):
+    read_header(file.read(HEADER))
+    for txid, coins in _groups(file, HEADER):
         for vout, code, sats, script, _ in coins:
             digest.update(txid + vout.to_bytes(4, "little") + code.to_bytes(4, "little") + sats.to_bytes(8, "little") + compact(len(script)) + script)
     return hashlib.sha256(digest.digest()).digest()[::-1].hex()
@@ -188,23 +211,62 @@ def _packed_script(script: bytes) -> bytes:
     return varint(len(script) + 6) + script
 
 
+def encoded_group(txid: bytes, members: list[tuple[int, int, bool, int, bytes]]) -> bytes:
+    """A transaction's (vout, height, coinbase, sats, script) coins as a snapshot holds them."""
+    coins = [compact(vout) + varint(2 * height + coinbase) + varint(pack_amount(sats)) + _packed_script(script) for vout, height, coinbase, sats, script in members]
+    return txid + compact(len(coins)) + b"".join(coins)
+
+
 def write_snapshot(coins: list[tuple[bytes, int, int, bool, int, bytes]], network: bytes = bytes.fromhex("f9beb4d9"), base_hash: str = "00" * 32) -> bytes:
     """A snapshot of (txid, vout, height, coinbase, sats, script) coins, grouped by transaction and in order."""
     groups: dict[bytes, list] = {}
     for c in sorted(coins, key=lambda c: (c[0], c[1])):
-        groups.setdefault(c[0], []).append(c)
-    out = bytearray(MAGIC + VERSION.to_bytes(2, "little") + network + bytes.fromhex(base_hash)[::-1] + len(coins).to_bytes(8, "little"))
-    for txid, members in groups.items():
-        out += txid + compact(len(members))
-        for _, vout, height, coinbase, sats, script in members:
-            out += compact(vout) + varint(2 * height + coinbase) + varint(pack_amount(sats)) + _packed_script(script)
-    return bytes(out)
+        groups.setdefault(c[0], []).append(c[1:])
+    head = MAGIC + VERSION.to_bytes(2, "little") + network + bytes.fromhex(base_hash)[::-1] + len(coins).to_bytes(8, "little")
+    return head + b"".join(encoded_group(txid, members) for txid, members in groups.items())
+
+
+def opened(path: str) -> BinaryIO:
+    """A file to read and seek in."""
+    store, inner = _store(path)
+    return store.open_input_file(inner)
+
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
-def _whole(path: str) -> bytes:
-    from pathlib import Path
 
-    return Path(path.removeprefix("file://")).read_bytes()
+def header_of(path: str) -> Header:
+    with opened(path) as file:
+        return read_header(file.read(HEADER))
+
+
+def hash_of(path: str) -> str:
+    with opened(path) as file:
+        return set_hash(file)
+
+
+def stretches(path: str, every: int, index_path: str | None = None) -> list[tuple[int, int, int]]:
+    """The index of a file, from ``index_path`` (beside the file unless named) if it is there for this file, or else made and stored there."""
+    store, inner = _store(index_path or path + ".index.json")
+    with opened(path) as file:
+        header = read_header(file.read(HEADER))
+        of = asdict(header) | {"bytes": file.size(), "every": every}
+        try:
+            with store.open_input_stream(inner) as kept:
+                found = json.loads(kept.read())
+            if found["of"] == of:
+                return [tuple(x) for x in found["stretches"]]
+        except (OSError, ValueError, KeyError):
+            pass
+        file.seek(0)
+        found = index(file, every)
+    try:
+        with store.open_output_stream(inner) as kept:
+            kept.write(json.dumps({"of": of, "stretches": found}).encode())
+    except OSError:
+        pass  # a folder that can't be written to: the index is made again next time
+    return found
 
 
 @dataclass
@@ -215,17 +277,17 @@ class Stretch(InputPartition):
 
 class SnapshotReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.path, self.every = options["path"], int(options.get("coinsPerPartition", 1 << 20))
+        self.path, self.every, self.index_path = options["path"], int(options.get("coinsPerPartition", 1 << 20)), options.get("index")
 
     def partitions(self):
-        return [Stretch(a, b) for a, b, _ in index(_whole(self.path), self.every)] or [Stretch(HEADER, HEADER)]
+        return [Stretch(a, b) for a, b, _ in stretches(self.path, self.every, self.index_path)] or [Stretch(HEADER, HEADER)]
 
     def read(self, partition):
-        with open(self.path.removeprefix("file://"), "rb") as file:
+        with opened(self.path) as file:
             file.seek(partition.start)
             data = file.read(partition.end - partition.start)
         rows = []
-        for txid, coins in _groups(data):
+        for txid, coins in _groups(io.BytesIO(data), partition.start):
             rows += [(txid[::-1].hex(), v, code >> 1, bool(code & 1), sats, script.hex(), compactly) for v, code, sats, script, compactly in coins]
             if len(rows) >= 1 << 16:
                 yield _batch(rows)
@@ -240,7 +302,10 @@ def _batch(rows) -> pa.RecordBatch:
 
 
 class SnapshotSource(DataSource):
-    """spark.read.format("utxo_snapshot").load(path): a file that driver and executors can open by this path."""
+    """spark.read.format("utxo_snapshot").load(path): a file that driver and executors can open by this path.
+
+    Options: coinsPerPartition; index, where the file's index is kept.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.functions.scripts import key_hash, once, script_type
 from ledgerflow.operators.ledger import Ledger
 
 EPOCH = "1995-01-01"
@@ -57,9 +58,9 @@ def ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     return Ledger(tx, _lines(ins).withColumnRenamed("i", "in_index"), _lines(outs).withColumnRenamed("i", "n"))
 
 
-def part_script(key: Column) -> Column:
-    """One script of every class, in turn, from a hash of the part's key."""
-    h = F.sha2(F.concat(F.lit("s"), key.cast("string")), 256)
+def with_script(rows: DataFrame, key: str) -> DataFrame:
+    """Add script: one of every class, in turn, from a hash of the part's key. Hash and script are computed once a row."""
+    h = F.col("part_hash")
     short = F.substring(h, 1, 40)
     text = [
         F.concat(F.lit("76a914"), short, F.lit("88ac")),
@@ -74,22 +75,23 @@ def part_script(key: Column) -> Column:
         F.concat(F.lit("5214"), short),
         F.concat(F.lit("ff"), F.substring(h, 1, 10)),
     ]
-    return F.element_at(F.array(*text), (key % 11 + 1).cast("int"))
+    hashed = rows.withColumn("part_hash", once(F.sha2(F.concat(F.lit("s"), F.col(key).cast("string")), 256)))
+    return hashed.withColumn("script", once(F.element_at(F.array(*text), (F.col(key) % 11 + 1).cast("int")))).drop("part_hash")
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(address, script) of every part."""
-    key = F.col("p_partkey")
-    return _table(spark, sf_dir, "part").select(F.concat(F.lit("P"), key.cast("string")).alias("address"), part_script(key).alias("script"))
+    parts = with_script(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    return parts.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("address"), "script")
 
 
 def utxo(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_linestatus")
-    return lines.select(
+    return with_script(lines, "l_partkey").select(
         _days("l_shipdate").alias("height"),
         (F.col("l_linestatus") == "F").alias("coinbase"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("sats"),
-        part_script(F.col("l_partkey")).alias("script"),
+        "script",
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("address"),
     )
 
@@ -102,8 +104,6 @@ def seeds(spark: SparkSession, sf_dir: str, every: int = 97) -> DataFrame:
 
 def revealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key_hash) of the parts that spend."""
-    from ledgerflow.functions.scripts import key_hash, script_type
-
-    keys = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_partkey").distinct()
-    script = part_script(F.col("l_partkey"))
-    return keys.select(key_hash(script, script_type(script)).alias("key_hash")).where("key_hash IS NOT NULL")
+    keys = with_script(_table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select("l_partkey").distinct(), "l_partkey")
+    typed = keys.withColumn("kind", once(script_type(F.col("script"))))
+    return typed.select(key_hash(F.col("script"), F.col("kind")).alias("key_hash")).where("key_hash IS NOT NULL")
