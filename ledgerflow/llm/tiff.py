@@ -1,8 +1,12 @@
 """TIFF columns: walk image directories, decode strips and tiles, undo predictors, one row per page.
 
-The reader takes both byte orders, any chain of directories, strips or tiles, 8- and 16-bit samples, chunky or
-planar, uncompressed, PackBits, LZW and deflate data, and the horizontal predictor. The writer stores byte
-payloads as grey images and is used to make files for the reader.
+The reader takes both byte orders, any chain of directories, strips or tiles, samples of 1, 2, 4, 8, 16, 32 and 64 bits,
+chunky or planar, uncompressed, PackBits, LZW and deflate data, and the horizontal and floating-point predictors. Whatever
+is wrong with a file ends in a TiffError. The writer stores byte payloads as grey images and is used to make files for
+the reader.
+
+LZW codes have widths that depend only on how many have come since the table was cleared, so they are packed and
+unpacked by arrays; only the table itself is walked code by code.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +25,13 @@ from pyspark.sql import DataFrame
 #: Fixed values of the format: tags, compressions and sizes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 FIELD_CODES = {1: "B", 3: "H", 4: "I"}
+CLEAR, END, FIRST, WIDEST = 256, 257, 258, 12
 
-#: Payload bytes are a multiple of UNIT; images are IMAGE_WIDTH wide, so a unit is 9 rows.
-UNIT, IMAGE_WIDTH = 576, 64
+#: Payload bytes are a multiple of UNIT; images are IMAGE_WIDTH wide, so a unit is 9 rows. Strips hold STRIP_ROWS rows.
+UNIT, IMAGE_WIDTH, STRIP_ROWS = 576, 64, 128
 #: The most bytes a page may hold decoded; a damaged header doesn't make the reader ask for more.
 MOST_PAGE_BYTES = 1 << 30
 _RUNS = re.compile(rb"(.)\1{2,}", re.DOTALL)
@@ -34,7 +41,13 @@ class TiffError(ValueError):
     """The file isn't a TIFF that this reader takes."""
 
 
-def packbits_encode(data: bytes) -> bytes:
+def packbits_encode(data: bytes, row: int = 0) -> bytes:
+    """Packed bytes; with ``row``, every row of so many bytes is packed for itself, as the format asks."""
+    if row and len(data) > row:
+        rows = np.frombuffer(data, np.uint8).reshape(-1, row)
+        if row <= 128 and not ((rows[:, 2:] == rows[:, 1:-1]) & (rows[:, 1:-1] == rows[:, :-2])).any():
+            return np.column_stack((np.full(len(rows), row - 1, np.uint8), rows)).tobytes()  # no runs: a literal each
+        return b"".join(packbits_encode(data[i : i + row]) for i in range(0, len(data), row))
     out, at = bytearray(), 0
 
     def literal(upto: int) -> None:
@@ -76,96 +89,113 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+@lru_cache(maxsize=1)
+def _schedule() -> tuple[np.ndarray, np.ndarray]:
+    """Width of the n-th code after a clear, and the bits before it, for as many codes as a table can take.
+
+    The n-th code meets a table of FIRST + n - 1 entries (the first one adds none); widths grow one code early.
+    """
+    entries = FIRST - 1 + np.maximum(np.arange((1 << WIDEST) - FIRST + 2), 1)
+    widths = np.clip(np.floor(np.log2(entries + 1)).astype(np.int64) + 1, 9, WIDEST)
+    return widths, np.concatenate(([0], np.cumsum(widths)[:-1]))
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first, widened one code early; 256 clears, 257 ends."""
-    held, bits, out = 0, 0, bytearray()
-    table, width = {}, 9
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held = held << width | code
-        bits += width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    put(256)
-    following, prefix = 258, -1
+    """Codes of 9 to 12 bits, high bits first, widened one code early; CLEAR begins, and again when the table is full; END ends."""
+    widths, _ = _schedule()
+    blocks: list[list[int]] = []
+    codes: list[int] = []
+    put = codes.append
+    table: dict[int, int] = {}
+    following, prefix = FIRST, -1
     for byte in data:
-        if prefix < 0:
-            prefix = byte
-            continue
         key = prefix << 8 | byte
         code = table.get(key)
         if code is not None:
             prefix = code
-            continue
-        put(prefix)
-        table[key] = following
-        following += 1
-        prefix = byte
-        if following == 4095:
-            put(256)
-            table, width, following = {}, 9, 258
-        elif following >= 1 << width:
-            width += 1
+        elif prefix < 0:
+            prefix = byte
+        else:
+            put(prefix)
+            table[key] = following
+            following += 1
+            prefix = byte
+            if following == 4095:
+                put(CLEAR)
+                blocks.append(codes)
+                codes, table, following = [], {}, FIRST
+                put = codes.append
     if prefix >= 0:
         put(prefix)
-        following += 1
-        if following >= 1 << width and width < 12:
-            width += 1
-    put(257)
-    if bits:
-        out.append(held << 8 - bits & 255)
-    return bytes(out)
+    put(END)
+    blocks.append(codes)
+    every = np.array([CLEAR] + [c for block in blocks for c in block], np.uint16)
+    wide = np.concatenate([np.array([9])] + [widths[: len(block)] for block in blocks])
+    places = np.arange(15, -1, -1, dtype=np.uint16)
+    bits = (every[:, None] >> places & 1).astype(np.uint8)
+    return np.packbits(bits[places[None, :] < wide[:, None]]).tobytes()
+
+
+def _codes(raw: np.ndarray, at: int, end: int) -> np.ndarray:
+    """Codes from bit ``at`` on, as after a clear; so many as the data and a table can hold."""
+    widths, before = _schedule()
+    starts = before + at
+    n = int(np.searchsorted(starts + widths, end, side="right"))
+    starts, w = starts[:n], widths[:n]
+    byte = starts >> 3
+    word = raw[byte].astype(np.int64) << 16 | raw[byte + 1].astype(np.int64) << 8 | raw[byte + 2]
+    return word >> 24 - (starts & 7) - w & (1 << w) - 1
+
+
+_BYTES = [bytes((i,)) for i in range(256)] + [b"", b""]
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, out = list(first), 9, bytearray()
-    held = bits = 0
-    last = b""
-    stream = iter(data)
-    while len(out) < size:
-        while bits < width:
-            byte = next(stream, None)
-            if byte is None:
-                raise TiffError("LZW data ends early")
-            held = (held << 8 | byte) & 0xFFFFFFFF
-            bits += 8
-        bits -= width
-        code = held >> bits & (1 << width) - 1
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = list(first), 9, b""
-            continue
-        if not last:
-            if code > 255:
+    """The first ``size`` bytes, or fewer if the data ends before."""
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)))
+    widths, before = _schedule()
+    out: list[bytes] = []
+    have, at, end = 0, 0, 8 * len(data)
+    while have < size:
+        codes = _codes(raw, at, end)
+        if not len(codes):
+            raise TiffError("LZW data ends early")
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(stops[0]) if len(stops) else len(codes)
+        n, table, last = 0, _BYTES.copy(), b""
+        add = table.append
+        for code in codes[:stop].tolist():
+            if last:
+                if code < len(table):
+                    entry = table[code]
+                elif code == len(table):
+                    entry = last + last[:1]
+                else:
+                    raise TiffError("LZW code out of range")
+                add(last + entry[:1])
+            elif code < CLEAR:
+                entry = _BYTES[code]
+            else:
                 raise TiffError("LZW code out of order")
-            last = table[code]
-            out += last
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table):
-            entry = last + last[:1]
+            out.append(entry)
+            n += len(entry)
+            last = entry
+        have += n
+        if stop == len(codes):
+            if have < size:
+                raise TiffError("LZW data ends early, or without a clear in time")
+        elif codes[stop] == END:
+            break
         else:
-            raise TiffError("LZW code out of range")
-        out += entry
-        table.append(last + entry[:1])
-        last = entry
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-    return bytes(out)
+            at += int(before[stop] + widths[stop])
+    return b"".join(out)[:size]
 
 
-def _packed(data: bytes, how: int) -> bytes:
+def _packed(data: bytes, how: int, row: int) -> bytes:
     if how == NONE:
         return data
     if how == PACKBITS:
-        return packbits_encode(data)
+        return packbits_encode(data, row)
     if how == LZW:
         return lzw_encode(data)
     if how in (DEFLATE, OLD_DEFLATE):
@@ -207,7 +237,7 @@ def write_tiff(pages: list[dict]) -> bytes:
         for block in blocks:
             if predictor == 2:
                 block = np.concatenate((block[:, :1], np.diff(block, axis=1)), axis=1)
-            data = _packed(block.tobytes(), how)
+            data = _packed(block.tobytes(), how, block.shape[1])
             offsets.append(len(out))
             counts.append(len(data))
             out += data
@@ -263,30 +293,73 @@ def read_tiff(data: bytes) -> Iterator[dict]:
             raise TiffError("the directories form a ring")
         seen.add(at)
         fields, at = _directory(data, order, at)
-        yield _page(data, order, fields)
+        try:
+            page = _page(data, order, fields)
+        except TiffError:
+            raise
+        except (ArithmeticError, LookupError, TypeError, ValueError) as e:  # sizes and offsets that fit nothing
+            raise TiffError(f"a damaged directory: {e}") from e
+        yield page
+
+
+def _sample_type(bits: int, form: int, order: str) -> np.dtype:
+    """How samples lie in a strip; those of fewer bits than a byte are unpacked to bytes."""
+    if bits in (1, 2, 4, 8):
+        return np.dtype("i1" if form == 2 and bits == 8 else "u1")
+    if bits in (16, 32, 64) and form in (1, 2, 3, 4):
+        return np.dtype(f"{order}{'uuif'[form] if form < 4 else 'u'}{bits // 8}")
+    raise TiffError(f"{bits} bits per sample are not read")
+
+
+def _unpack_bits(raw: bytes, rows: int, across: int, bits: int) -> np.ndarray:
+    """Rows of samples of 1, 2 or 4 bits, each row padded to a byte."""
+    row = -(-across * bits // 8)
+    single = np.unpackbits(np.frombuffer(raw, np.uint8, rows * row).reshape(rows, row), axis=1)[:, : across * bits]
+    return np.packbits(single.reshape(rows, across, bits), axis=2, bitorder="big")[:, :, 0] >> 8 - bits
+
+
+def _undone(raw: bytes, rows: int, across: int, deep: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """A strip's or tile's samples (rows, across, deep) without its predictor."""
+    if predictor == 3:  # bytes of a row by significance, each the difference from the one ``deep`` before
+        if kind.kind != "f":
+            raise TiffError("the floating-point predictor is for floats")
+        planes = np.frombuffer(raw, np.uint8, rows * across * deep * kind.itemsize).reshape(rows, -1, deep)
+        planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, across * deep)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, across, deep)
+    block = np.frombuffer(raw, kind, rows * across * deep).reshape(rows, across, deep)
+    if predictor == 2:
+        if kind.kind == "f":
+            raise TiffError("the horizontal predictor is for whole numbers")
+        block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
+    return block
 
 
 def _page(data: bytes, order: str, fields: dict[int, tuple]) -> dict:
     def one(tag: int, default: int | None = None) -> int:
-        if tag not in fields and default is None:
+        values = fields.get(tag)
+        if values:
+            return values[0]
+        if default is None:
             raise TiffError(f"tag {tag} is missing")
-        return fields[tag][0] if fields.get(tag) else default
+        return default
 
     width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
-    how, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-    if bits not in (8, 16):
-        raise TiffError(f"{bits} bits per sample are not read")
-    if predictor not in (1, 2):
-        raise TiffError(f"predictor {predictor} is not known")
-    if not 0 < width * height * samples * bits // 8 <= MOST_PAGE_BYTES:
+    how, predictor, planar, form = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1), one(SAMPLE_FORMAT, 1)
+    if len(set(fields.get(BITS) or (bits,))) > 1:
+        raise TiffError("samples of different bits are not read")
+    if one(FILL_ORDER, 1) != 1:
+        raise TiffError("low bits first are not read")
+    kind = _sample_type(bits, form, order)
+    if predictor not in (1, 2, 3) or predictor > 1 and bits < 8:
+        raise TiffError(f"predictor {predictor} is not known for {bits} bits")
+    if not 0 < width * height * samples * kind.itemsize <= MOST_PAGE_BYTES:
         raise TiffError("the page has no size, or too much")
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
     tiled = TILE_OFFSETS in fields
     if tiled:
         bw, bh, offsets, counts = one(TILE_WIDTH), one(TILE_HEIGHT), fields[TILE_OFFSETS], fields.get(TILE_COUNTS, ())
     else:
         bw, bh, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), fields.get(STRIP_OFFSETS, ()), fields.get(STRIP_COUNTS, ())
-    if not bw or not bh or bw * bh * samples * bits // 8 > MOST_PAGE_BYTES:
+    if not bw or not bh or bw * bh * samples * kind.itemsize > MOST_PAGE_BYTES:
         raise TiffError("strips or tiles have no size, or too much")
     planes, deep = (samples, 1) if planar == 2 else (1, samples)
     across, down = -(-width // bw), -(-height // bh)
@@ -297,13 +370,14 @@ def _page(data: bytes, order: str, fields: dict[int, tuple]) -> dict:
         plane, rest = divmod(i, across * down)
         y, x = rest // across * bh, rest % across * bw
         rows = bh if tiled else min(bh, height - y)
-        size = rows * bw * deep * kind.itemsize
+        size = rows * (-(-bw * deep * bits // 8))
         raw = _unpacked(data[offset : offset + count], how, size)
         if len(raw) < size:
             raise TiffError("a strip or tile ends early")
-        block = np.frombuffer(raw, kind, rows * bw * deep).reshape(rows, bw, deep)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
+        if bits < 8:
+            block = _unpack_bits(raw, rows, bw * deep, bits).reshape(rows, bw, deep)
+        else:
+            block = _undone(raw, rows, bw, deep, kind, predictor)
         h, w = min(rows, height - y), min(bw, width - x)
         part = block[:h, :w]
         if planar == 2:
@@ -313,43 +387,49 @@ def _page(data: bytes, order: str, fields: dict[int, tuple]) -> dict:
     return {"width": width, "height": height, "samples": samples, "bits": bits, "compression": how, "predictor": predictor, "tiled": tiled, "pixels": pixels}
 
 
-PAGE_SCHEMA = "id long, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
-_PAGE_TYPES = [pa.int64(), *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
-_PAGE_NAMES = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
-#: Decoded bytes gathered before a batch is handed on.
-_HAND_ON = 16 << 20
+PAGES = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, error string"
+_PAGE_TYPES = [*[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
+_NAMES = lambda schema: [x.split()[0] for x in schema.split(", ")]
+#: Bytes gathered before a batch is handed on.
+_HAND_ON = 4 << 20
 
 
-def decode_pages(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per page of the TIFF files in a binary column.
+def decode_pages(files: DataFrame, id_col: str, media_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page of the TIFF files in a binary column: the file's id, the columns to ``keep``, and PAGES.
 
-    pixels holds the samples row by row (16-bit ones in the machine's order). A file that is null or empty has no
-    pages; where reading fails, the pages before it stay and one row names the error. Equal files give equal pages.
+    pixels holds the samples row by row (wider ones in the machine's order). A file that is null or empty has no
+    pages; where reading fails, the pages before it stay and one row names the error. Equal files give equal pages; the
+    pages of a file follow each other. ``keep`` may not name a column of PAGES.
     """
+    own = files.select(id_col, *keep, media_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]) + ", " + PAGES
 
     def decode(batches):
-        rows, held = [], 0
         for batch in batches:
-            for key, media in zip(batch.column(0), batch.column(1), strict=True):
+            at, rows, held = [], [], 0
+            for i, media in enumerate(batch.column(batch.num_columns - 1)):
                 data, number = media.as_py(), 0
                 try:
                     for number, p in enumerate(read_tiff(data) if data else ()):
                         raw = p["pixels"].tobytes()
-                        rows.append((key.as_py(), number, p["width"], p["height"], p["samples"], p["bits"], p["compression"], p["predictor"], p["tiled"], raw, None))
+                        rows.append((number, p["width"], p["height"], p["samples"], p["bits"], p["compression"], p["predictor"], p["tiled"], raw, None))
+                        at.append(i)
                         held += len(raw)
                         number += 1
                 except TiffError as e:
-                    rows.append((key.as_py(), number, *[None] * 8, str(e)))
+                    rows.append((number, *[None] * 8, str(e)))
+                    at.append(i)
                 if held > _HAND_ON:
-                    yield _table(rows)
-                    rows, held = [], 0
-        yield _table(rows)
+                    yield _table(batch, at, rows)
+                    at, rows, held = [], [], 0
+            yield _table(batch, at, rows)
 
-    def _table(rows):
-        columns = list(zip(*rows, strict=True)) or [[]] * len(_PAGE_NAMES)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PAGE_TYPES, strict=True)], names=_PAGE_NAMES)
+    def _table(batch, at, rows):
+        first = batch.select(list(range(batch.num_columns - 1))).take(pa.array(at, pa.int32()))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(_PAGE_TYPES)
+        return pa.RecordBatch.from_arrays([*first.columns, *(pa.array(c, t) for c, t in zip(columns, _PAGE_TYPES, strict=True))], names=[*first.schema.names, *_NAMES(PAGES)])
 
-    return files.select(id_col, media_col).mapInArrow(decode, PAGE_SCHEMA)
+    return own.mapInArrow(decode, schema)
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -359,48 +439,88 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def text_to_tiff(payload: bytes) -> bytes:
-    """Three pages: rows 0-2 LZW in strips, rows 3-5 PackBits in strips, the rest deflated in tiles; two with a predictor."""
+    """Three pages of a third of the rows each: LZW in strips, PackBits in strips, deflate in tiles; two with a predictor."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, IMAGE_WIDTH)
+    third = len(rows) // 3
     return write_tiff(
         [
-            {"pixels": rows[:3], "compression": LZW, "predictor": 2, "rows_per_strip": 3},
-            {"pixels": rows[3:6], "compression": PACKBITS, "rows_per_strip": 2},
-            {"pixels": rows[6:], "compression": DEFLATE, "predictor": 2, "tile": (256 if len(rows) > 64 else 16, 64)},
+            {"pixels": rows[:third], "compression": LZW, "predictor": 2, "rows_per_strip": min(third, STRIP_ROWS)},
+            {"pixels": rows[third : 2 * third], "compression": PACKBITS, "rows_per_strip": min(third, STRIP_ROWS)},
+            {"pixels": rows[2 * third :], "compression": DEFLATE, "predictor": 2, "tile": (256 if third > 64 else 16, 64)},
         ]
     )
 
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
+STORED = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, media binary"
+_STORED_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
 _DIGEST_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-_DIGEST_NAMES = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
 
 
-def _feature(pages: list[dict], samples: np.ndarray) -> str:
+def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media_bytes, media_sha256, media): every whole text as a TIFF file. A null text counts as empty."""
+
+    def store(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                payload, n = payload_of(text.as_py())
+                media = text_to_tiff(payload)
+                rows.append((key.as_py(), n, len(media), hashlib.sha256(media).hexdigest(), media))
+                held += len(media)
+                if held > _HAND_ON:
+                    yield _filled(rows, _STORED_TYPES, STORED)
+                    rows, held = [], 0
+            yield _filled(rows, _STORED_TYPES, STORED)
+
+    return docs.select(id_col, text_col).mapInArrow(store, STORED)
+
+
+def _filled(rows: list[tuple], types: list, schema: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_NAMES(schema))
+
+
+def _feature(sizes: list[tuple[int, int]], samples: np.ndarray) -> str:
     """Pages' sizes, and the share of samples in each eighth of the value range, in thousandths."""
     shares = np.bincount(samples >> 5, minlength=8) * 1000 // len(samples)
-    return "+".join(f"{p['width']}x{p['height']}" for p in pages) + ":" + ",".join(map(str, shares))
+    return "+".join(f"{w}x{h}" for w, h in sizes) + ":" + ",".join(map(str, shares))
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as a TIFF, read the file back and describe what was read; one row per row of ``docs``.
+    """Store every text as a TIFF, decode the file's pages and describe what was read; one row per row of ``docs``.
 
-    A null text counts as empty; equal texts give equal values; ids may be null; an empty table gives none.
+    A null text counts as empty; equal texts give equal values; ids may be null; an empty table gives none. A stored file
+    that can't be read back is an error.
     """
+    pages = decode_pages(stored_texts(docs, id_col, text_col), "doc_id", "media", ("n_bytes", "media_bytes", "media_sha256"))
 
     def digest(batches):
+        """The pages of a file follow each other: page 0 begins the next one."""
+        own, parts, sizes = None, [], []
+
+        def described():
+            back = b"".join(parts)
+            key, n, media_bytes, media_sha256 = own
+            feature = _feature(sizes, np.frombuffer(back, np.uint8))
+            return key, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), media_bytes, media_sha256, feature, len(parts)
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(start, 256), []
-                for key, text in zip(part.column(0), part.column(1), strict=True):
-                    payload, n = payload_of(text.as_py())
-                    media = text_to_tiff(payload)
-                    pages = list(read_tiff(media))
-                    samples = np.concatenate([p["pixels"].reshape(-1) for p in pages])
-                    back = samples.tobytes()
-                    rows.append((key.as_py(), n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), _feature(pages, samples), len(pages)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DIGEST_TYPES, strict=True)], names=_DIGEST_NAMES)
-
-    return docs.select(id_col, text_col).mapInArrow(digest, DIGEST_SCHEMA)
+            rows = []
+            for *first, page, width, height, pixels, error in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "width", "height", "pixels", "error")), strict=True):
+                if error:
+                    raise TiffError(error)
+                if page == 0:
+                    if own is not None:
+                        rows.append(described())
+                    own, parts, sizes = first, [], []
+                parts.append(pixels)
+                sizes.append((width, height))
+            yield _filled(rows, _DIGEST_TYPES, DIGESTS)
+        if own is not None:
+            yield _filled([described()], _DIGEST_TYPES, DIGESTS)
+
+    return pages.mapInArrow(digest, DIGESTS)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
