@@ -210,6 +210,12 @@ def cluster_outflow(spark, d):
     return out.join(listed.select("cluster", "full"), "cluster").select("full", "seeds", *O.MEASURES, "spending_txs")
 
 
+def outflow_total(spark, d):
+    found, full, core = _trace1(spark, d)
+    listed = materialize(C.clusters(found.links, found.seeds, full, core), "clusters")
+    return O.outflow_total(O.cluster_outflow(found, listed, full, core))
+
+
 def entity_outflow(spark, d):
     found, full, core = _trace1(spark, d)
     return O.entity_outflow(found, _info(spark, d), full, core)
@@ -263,6 +269,7 @@ QUERIES = {
     "seed_summary": seed_summary,
     "cluster_summary": cluster_summary,
     "cluster_outflow": cluster_outflow,
+    "outflow_total": outflow_total,
     "entity_outflow": entity_outflow,
     "entity_month": entity_month,
     "top_destinations": top_destinations,
@@ -331,13 +338,14 @@ FROM (SELECT *, (bin + 1) * 100 <= tip - 365 AS old FROM (SELECT *, max(height)
     "exposure_by_type": EXPOSURE_SQL + f"SELECT script_type, {SUMS_SQL} FROM expo2 GROUP BY 1",
     "exposure_by_entry": EXPOSURE_SQL + f"SELECT sdn_ref, {SUMS_SQL}, min(sdn_name) AS sdn_name FROM expo2 GROUP BY 1",
     "common_input_clusters": f"""WITH RECURSIVE {LEDGER_SQL},
-plain AS (SELECT i.* FROM tx_in i JOIN tx USING (txid) JOIN mix USING (txid) WHERE tx_index % 20 = 0 AND NOT is_coinbase AND NOT coinjoin),
+plain AS (SELECT i.* FROM tx_in i JOIN tx USING (txid) JOIN mix USING (txid) WHERE NOT is_coinbase AND NOT coinjoin),
 lead AS (SELECT txid, arg_min(address, in_index) AS first FROM plain GROUP BY 1),
 edge AS (SELECT DISTINCT first AS a, address AS b FROM plain JOIN lead USING (txid)),
 both_ AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
-reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON both_.a = reach.b),
-label AS (SELECT a AS address, min(b) AS cluster FROM reach GROUP BY 1)
-SELECT address, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM label""",
+least_(address, cluster) USING KEY (address) AS (
+  SELECT a, a FROM both_ UNION
+  SELECT b, min(x.cluster) FROM (SELECT both_.b, n.cluster FROM least_ n JOIN both_ ON both_.a = n.address) x JOIN recurring.least_ k ON k.address = b WHERE x.cluster < k.cluster GROUP BY b)
+SELECT address, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM least_""",
     "spends_from_frontier": _w(
         "SELECT txid, height, count(DISTINCT address) AS spenders, min(address) AS first FROM tx_in JOIN tx USING (txid) WHERE height >= 100 AND address IN (SELECT address FROM seed) GROUP BY 1, 2", LEDGER_SQL, SEED_SQL
     ),
@@ -380,3 +388,8 @@ JOIN (SELECT sdn_ref, sum(k) AS cluster_addresses FROM ent_full JOIN (SELECT roo
     "top_destinations": TRACE_SQL
     + """ SELECT address, round(sum(t.sats / n_out), 3) AS sats FROM info JOIN traced t USING (txid) JOIN tx_out o USING (txid) WHERE stop GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
 }
+
+ORACLES["outflow_total"] = f"""WITH flows_ AS ({ORACLES["cluster_outflow"]})
+SELECT {", ".join(f"CAST(coalesce(sum({m}), 0) AS BIGINT) AS {m}" for m in (*O.MEASURES, "spending_txs"))},
+  CAST(coalesce(sum(to_outside_addresses + into_service_sweeps + into_coinjoins), 0) AS BIGINT) AS total,
+  CAST(coalesce(sum(to_outside_addresses_core + into_service_sweeps_core + into_coinjoins), 0) AS BIGINT) AS total_core FROM flows_ WHERE seeds > 0"""

@@ -49,7 +49,7 @@ def input_forms(lines: DataFrame) -> DataFrame:
 
 
 def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(height, raw): a block for each day of orders; an order is a transaction, its returned lines are inputs, all its lines outputs."""
+    """(height, raw): a block for each day of orders; an order with returned lines is a transaction, these are its inputs, all its lines outputs."""
     lines = V._table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag")
     ins = input_forms(lines.where("l_returnflag = 'A'"))
     size = lambda c: (F.length(c) / 2).cast("long")
@@ -60,7 +60,7 @@ def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(*order, one_in.alias("head"), F.concat(_compact(F.size("witness")), stack).alias("stack"), (F.size("witness") > 0).alias("w")))).alias("ins")
     )
     paid = lines.groupBy("l_orderkey").agg(F.count("*").alias("n_out"))
-    tx = paid.join(put, "l_orderkey", "left").withColumn("ins", F.coalesce("ins", F.expr("cast(array() as " + put.schema["ins"].dataType.simpleString() + ")")))
+    tx = paid.join(put, "l_orderkey")  # without inputs, a transaction's counts would read as a mark
     marked = F.exists("ins", lambda i: i["w"])
     body = F.concat(_compact(F.size("ins")), F.array_join(F.transform("ins", lambda i: i["head"]), ""), _compact(F.col("n_out")), F.repeat(F.lit("e803000000000000016a"), F.col("n_out").cast("int")))
     stacks = F.when(marked, F.array_join(F.transform("ins", lambda i: i["stack"]), "")).otherwise("")
@@ -82,7 +82,7 @@ def decoded_blocks(spark: SparkSession, sf_dir: str) -> str:
     tx = ledger.tx.join(vin, "txid", "left").join(vout, "txid", "left")
     ins = F.transform(F.coalesce("i", F.expr("cast(array() as " + vin.schema["i"].dataType.simpleString() + ")")), lambda x: F.struct(F.lit(None).cast("string").alias("coinbase"), x["prevout"].alias("prevout")))
     first = F.array(F.struct(F.lit("00").alias("coinbase"), F.lit(None).cast(vin.schema["i"].dataType.elementType["prevout"].dataType).alias("prevout")))
-    outs = F.transform("o", lambda x: F.struct(x["n"].alias("n"), x["p"]["value"].alias("value"), x["p"]["scriptPubKey"].alias("scriptPubKey")))
+    outs = F.transform(F.coalesce("o", F.expr("cast(array() as " + vout.schema["o"].dataType.simpleString() + ")")), lambda x: F.struct(x["n"].alias("n"), x["p"]["value"].alias("value"), x["p"]["scriptPubKey"].alias("scriptPubKey")))
     one = tx.select("height", "time", "tx_index", F.struct("txid", F.when(F.size(ins) > 0, ins).otherwise(first).alias("vin"), outs.alias("vout")).alias("t"))
     blocks = one.groupBy("height").agg(F.min("time").alias("time"), F.array_sort(F.collect_list(F.struct("tx_index", "t"))).alias("txs"))
     block = F.struct(F.lpad(F.col("height").cast("string"), 64, "0").alias("hash"), "height", "time", F.transform("txs", lambda x: x["t"]).alias("tx"))
@@ -155,9 +155,11 @@ def sanctions_xml(spark: SparkSession, sf_dir: str) -> str:
         address,
         F.lit(" </VersionDetail></FeatureVersion></Feature></Profile></DistinctParty>"),
     )
-    types = spark.createDataFrame([('<FeatureType ID="344">Digital Currency Address - XBT</FeatureType>',)], "value string")
+    head = '<L xmlns="urn:x"><FeatureTypeValues><FeatureType ID="344">Digital Currency Address - XBT</FeatureType></FeatureTypeValues>'
     path = f"{shared_dir(spark)}/ledgerflow/{uuid.uuid4().hex}-list"
-    V._table(spark, sf_dir, "supplier").select(party.alias("value")).union(types).write.text(path)
+    # a list is one XML document: as many parties as a document holds
+    parties = V._table(spark, sf_dir, "supplier").groupBy().agg(F.array_join(F.array_sort(F.collect_list(party)), "\n").alias("all"))
+    parties.select(F.concat(F.lit(head), "all", F.lit("</L>")).alias("value")).write.text(path)
     return path
 
 
