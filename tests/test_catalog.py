@@ -9,11 +9,12 @@ import pytest
 from chain import seeds, tx
 
 import __spark_entry__ as entry
-from ledgerflow.plans import catalog
+from ledgerflow.plans import catalog, catalog_sources
 from ledgerflow.streaming import increment
 
 DATA = os.environ.get("LEDGERFLOW_DATA", "/root/testdata/sf0.001")
-SQL = ["coinjoin_flags", "change_labels", "script_types", "utxo_totals", "revealed_bins", "exposure_by_entry", "common_input_clusters", "first_spend", "spends_from_frontier"]
+SQL = ["change_labels", "script_types", "utxo_totals", "revealed_bins", "exposure_by_entry", "common_input_clusters", "first_spend", "outflow_total"]
+SQL += sorted(catalog_sources.ORACLES)
 
 
 def plain(frame):

@@ -1,6 +1,9 @@
 import hashlib
+import http.server
+import io
 import json
 import random
+import threading
 from pathlib import Path
 
 import pytest
@@ -12,8 +15,8 @@ from ledgerflow.functions import crypto, reveal
 from ledgerflow.functions import scripts as S
 from ledgerflow.operators import exposure as X
 from ledgerflow.operators import utxo as U
-from ledgerflow.operators.ledger import Ledger
-from ledgerflow.plans import cli, render, reports
+from ledgerflow.operators.ledger import Ledger, with_times
+from ledgerflow.plans import cli, progress, render, reports
 from ledgerflow.sources import node, rawblocks, sanctions, snapshot
 
 GX = bytes.fromhex("79be667ef9dcbbac55a06295ce870b07029bfcdb2dce28d959f2815b16f81798")
@@ -85,10 +88,23 @@ def test_snapshot_reader(spark, tmp_path):
     digest = hashlib.sha256()
     for t, v, h, c, s, script in sorted(coins):
         digest.update(t + v.to_bytes(4, "little") + (2 * h + c).to_bytes(4, "little") + s.to_bytes(8, "little") + bytes((len(script),)) + script)
-    assert snapshot.set_hash(data) == hashlib.sha256(digest.digest()).digest()[::-1].hex()
+    assert snapshot.hash_of(str(path)) == snapshot.set_hash(io.BytesIO(data)) == hashlib.sha256(digest.digest()).digest()[::-1].hex()
     for broken in (b"x" + data, data[:5] + b"\3\0" + data[7:], data[:-3], data + b"\0"):
         with pytest.raises(snapshot.SnapshotError):
-            snapshot.index(broken)
+            snapshot.index(io.BytesIO(broken))
+
+
+def test_snapshot_index_is_kept(tmp_path, monkeypatch):
+    path = tmp_path / "utxo.dat"
+    path.write_bytes(snapshot.write_snapshot(_coins()))
+    monkeypatch.setattr(snapshot, "WINDOW", 7)  # a window much smaller than the file
+    made = snapshot.stretches(str(path), 40)
+    assert made[0][0] == snapshot.HEADER and made[-1][1] == path.stat().st_size and sum(n for _, _, n in made) == len(_coins())
+    monkeypatch.setattr(snapshot, "index", None)  # not called again
+    assert snapshot.stretches(str(path), 40) == made
+    monkeypatch.undo()
+    path.write_bytes(snapshot.write_snapshot(_coins()[:20]))
+    assert sum(n for _, _, n in snapshot.stretches(str(path), 40)) == 20
 
 
 def _block(inputs):
@@ -117,6 +133,52 @@ def test_reveals_and_scan(spark):
         list(rawblocks.block_inputs(raw + b"\0"))
 
 
+FORMS = [
+    ("key", bytes((71,)) + b"\x30\x44" + b"\1" * 69 + b"\x21" + SHORT, [], 2),
+    ("witness key", b"", [b"\x30\x44" + b"\1" * 69, KEY], 3),
+    ("taproot key", b"", [b"\1" * 64], 0),
+    ("taproot key", b"", [b"\1" * 65, b"\x50annex"], 0),
+    ("taproot script", b"", [b"\1", b"\x51", b"\xc0" + b"\2" * 64], 0),
+    ("witness script", b"", [b"\1", b"\x51", b"\xc0" + b"\2" * 63], 1),
+    ("witness script", b"\x22" + b"\0" * 34, [b"\x51"], 2),
+    ("signature", bytes((71,)) + b"\x30\x44" + b"\1" * 69, [], 0),
+    ("signature", b"", [], 0),
+    ("script", b"\x01\x51", [], 1),
+]
+
+
+@pytest.mark.parametrize("name, script_sig, witness, hashes", FORMS)
+def test_forms_of_spends(name, script_sig, witness, hashes):
+    spend = reveal.Spend(script_sig, tuple(witness))
+    assert reveal.form_of(spend).name == name and len(reveal.of_input(script_sig, witness)) == hashes
+
+
+def test_scan_resumes_and_guards(spark, tmp_path):
+    key = bytes((71,)) + b"\x30\x44" + b"\1" * 69 + b"\x21" + SHORT
+    stored = spark.createDataFrame([(h, bytearray(_block([(key, [])] if h % 4 == 0 else []))) for h in range(25)], "height int, raw binary")
+    targets = spark.createDataFrame([(bytearray(crypto.hash160(SHORT)),)], "key_hash binary")
+    asked = []
+
+    def blocks_of(heights, fail=False):
+        asked.append((heights.start, heights.stop))
+        if fail:
+            raise RuntimeError("cut off")
+        return stored.where(F.col("height").between(heights.start, heights.stop - 1))
+
+    path, told = str(tmp_path / "scan"), []
+    with pytest.raises(RuntimeError):
+        rawblocks.scan_chain(spark, lambda h: blocks_of(h, h.start >= 10), 19, targets, path, "aa", 5, 2)
+    assert asked == [(0, 10), (10, 20)]
+    found, sums = rawblocks.scan_chain(spark, blocks_of, 19, targets, path, "aa", 5, 2, told=lambda a, b: told.append((a, b)))
+    assert asked == [(0, 10), (10, 20), (10, 20)] and told == [(2, 4), (4, 4)]
+    assert [bytes(r[0]) for r in found.collect()] == [crypto.hash160(SHORT)] and (sums["blocks"], sums["inputs"], sums["reveals"]) == (20, 5, 10)
+    _, more = rawblocks.scan_chain(spark, blocks_of, 22, targets, path, "aa", 5, 2)
+    _, most = rawblocks.scan_chain(spark, blocks_of, 24, targets, path, "aa", 5, 2)
+    assert (more["blocks"], most["blocks"], most["inputs"]) == (23, 25, 7) and asked[3:] == [(20, 23), (20, 25)]
+    with pytest.raises(ValueError, match="different snapshot"):
+        rawblocks.scan_chain(spark, blocks_of, 24, targets, path, "bb", 5, 2)
+
+
 def test_utxo_report(spark):
     rows = [(0, True, 50 * 10**8, f"21{SHORT.hex()}ac"), (10, False, 7, f"76a914{H}88ac"), (299_000, False, 5, "5120" + "cd" * 32), (300_000, False, 3, "6a00")]
     coins = U.classified(spark.createDataFrame(rows, "height int, coinbase boolean, sats long, script string"))
@@ -168,9 +230,14 @@ def test_sanctions_and_seeds(spark, tmp_path):
         sanctions.listed_addresses(spark, str(path), "ZZZ")
     text = tmp_path / "seeds.txt"
     text.write_text("# list\nA # one\n\nB\n")
-    assert sorted(r[0] for r in sanctions.read_seeds(spark, str(text)).collect()) == ["A", "B"]
+    assert sorted(r["address"] for r in sanctions.read_seeds(spark, str(text)).collect()) == ["A", "B"]
     with pytest.raises(ValueError):
-        sanctions.select_seeds(sanctions.read_seeds(spark, str(text)), "7")
+        sanctions.of_entry(sanctions.read_seeds(spark, str(text)), "7")
+    listed = tmp_path / "seeds.json"
+    entries = [("A", "9", "NINE"), ("B", "", "none"), ("A", "1", "ONE"), ("A", "1", ""), ("B", "2", "TWO")]
+    listed.write_text(json.dumps({"addresses": [dict(zip(("address", "sdn_ref", "sdn_name"), e, strict=True)) for e in entries]}))
+    found = sanctions.select_seeds(sanctions.read_seeds(spark, str(listed))).collect()
+    assert sorted(map(tuple, found)) == [("A", "9", "ONE"), ("B", "2", "TWO")]
 
 
 def test_node_replays_and_retries(tmp_path):
@@ -185,26 +252,140 @@ def test_node_replays_and_retries(tmp_path):
     with pytest.raises(node.NodeError):
         node.Replay(tmp_path).call("absent", [])
 
-    waits, tries = [], []
-
-    class Dropping(node.Http):
-        def _post(self, method, params):
-            tries.append(method)
-            if len(tries) < 3:
-                raise ConnectionResetError("gone")
-            return 1
+    assert node.reply_name("getblock", ["ab", 3]) == "getblock__ab_3.json" and node.reply_name("getblockcount", []) == "getblockcount.json"
+    assert node.reply_name("scanblocks", ["start", ["addr(A)"], 0]) == "scanblocks__start_--addr-A---_0.json"
+
+
+class Script(http.server.BaseHTTPRequestHandler):
+    """Answers by a plan: drop, slow, refuse, error, or the numbers asked for."""
+
+    plan: list = []
+    seen: list = []
+    protocol_version = "HTTP/1.1"
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        type(self).seen.append((self.client_address[1], body))
+        what = type(self).plan.pop(0) if type(self).plan else "answer"
+        if what == "drop":
+            self.connection.close()
+            self.close_connection = True
+            return
+        answer = lambda c: {"id": c["id"], "result": c["params"], "error": None}
+        reply = list(reversed([answer(c) for c in body])) if isinstance(body, list) else answer(body) if what == "answer" else {"id": 0, "result": None, "error": {"code": -1, "message": "no such thing"}}
+        text = json.dumps(reply).encode() if what != "login" else b""
+        self.send_response(401 if what == "login" else 500 if what == "error" else 200)
+        self.send_header("Content-Length", str(len(text)))
+        self.end_headers()
+        self.wfile.write(text)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_node_over_a_kept_connection():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Script)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    waits = []
+    link = node.Http(f"http://127.0.0.1:{server.server_port}/", "u", "p", patience=node.Patience(wait=waits.append))
+    try:
+        assert link.call("getblock", ["a", 3]) == ["a", 3] and link.call("getblock", ["b", 3]) == ["b", 3]
+        assert link.batch("getblockhash", [[n] for n in range(5)]) == [[n] for n in range(5)] and link.batch("x", []) == []
+        assert len({port for port, _ in Script.seen}) == 1 and len(Script.seen) == 3
+        Script.plan[:] = ["drop", "drop", "answer"]
+        assert link.call("getblockcount", []) == [] and waits == [2.0, 4.0]
+        Script.plan[:] = ["drop"]
+        with pytest.raises(node.Dropped):
+            link.call("dumptxoutset", ["a"])
+        Script.plan[:] = ["drop"] * 4
+        with pytest.raises(node.Dropped):
+            link.call("getblockcount", [])
+        assert waits == [2.0, 4.0, 2.0, 4.0, 8.0]
+        Script.plan[:] = ["error"]
+        with pytest.raises(node.NodeError, match="no such thing"):
+            link.call("getblock", ["c"])
+        Script.plan[:] = ["login"]
+        with pytest.raises(node.NodeError, match="user or password"):
+            link.call("getblock", ["c"])
+    finally:
+        server.shutdown()
+    with pytest.raises(node.NodeError, match="can't be reached"):
+        node.Http("http://127.0.0.1:1/", patience=node.Patience(wait=waits.append)).call("getblockcount", [])
+
+
+def test_scans_are_stopped_and_explained():
+    calls = []
+
+    class Busy:
+        def __init__(self, reply):
+            self.reply = reply
 
-    assert Dropping("http://x", wait=waits.append).call("getblockcount", []) == 1 and waits == [2.0, 4.0]
-    tries.clear()
-    with pytest.raises(node.NodeError):
-        Dropping("http://x", wait=waits.append).call("dumptxoutset", ["a"])
+        def call(self, method, params):
+            calls.append((method, params[0]))
+            if params[0] == "abort":
+                return True
+            if isinstance(self.reply, Exception):
+                raise self.reply
+            return self.reply
+
+    with pytest.raises(node.TooSlow):
+        node.Node(Busy(node.TooSlow("late"))).scan_blocks(["A"], 0, 9)
+    assert calls == [("scanblocks", "start"), ("scanblocks", "abort")]
+    with pytest.raises(node.NodeError, match="another scan"):
+        node.Node(Busy(node.NodeError("Scan already in progress"))).scan_utxos(["A"])
+    with pytest.raises(node.NodeError, match="was stopped"):
+        node.Node(Busy({"completed": False, "relevant_blocks": []})).scan_blocks(["A"], 0, 9)
+    heights = []
+    assert node.Node(Busy({"completed": True, "relevant_blocks": ["x"]}), 4).scan_blocks(["A"], 0, 9, told=lambda a, b: heights.append((a, b))) == ["x"]
+    assert heights == [(0, 3), (4, 7), (8, 9)]
+
+
+def test_blocks_from_a_node(spark, tmp_path):
+    """Executors fetch what was saved: decoded, raw, and block times."""
+    raw = _block([])
+    save = lambda method, params, value: (tmp_path / node.reply_name(method, params)).write_text(json.dumps(value))
+    for h in range(5):
+        save("getblockhash", [h], f"h{h}")
+        save("getblock", [f"h{h}", 0], raw.hex())
+        save("getblock", [f"h{h}", 3], {"hash": f"h{h}", "height": h, "time": 7 * h, "tx": [{"txid": f"t{h}", "vin": [{"coinbase": "00"}], "vout": []}]})
+        save("getblockheader", [f"h{h}"], {"time": 7 * h})
+    live = node.Node(node.Replay(tmp_path))
+    got = node.fetch_raw_blocks(spark, live, range(1, 5), 2).orderBy("height").collect()
+    assert [(r["height"], bytes(r["raw"])) for r in got] == [(h, raw) for h in range(1, 5)]
+    assert sorted(r["tx"][0]["txid"] for r in node.fetch_blocks(spark, live, range(0, 3)).collect()) == ["t0", "t1", "t2"]
+    times = node.block_times(spark, live, range(0, 5))
+    tx = spark.createDataFrame([("a", 2, None), ("b", 3, 1), ("c", 9, None)], "txid string, height int, time long")
+    filled = with_times(Ledger(tx, tx, tx), times).tx
+    assert sorted(map(tuple, filled.collect())) == [("a", 2, 14), ("b", 3, 1), ("c", 9, None)]
 
 
 def test_pages_and_commands(tmp_path, capsys):
     assert "<script" not in render.markdown("# a <script>\n- x\n- [y](javascript:z) **b**\n\ntext `c`") and "<li>" in render.markdown("- x")
-    assert render.ticks(7)[-1] >= 7 and render.months_between("2020-11", "2021-02") == ["2020-11", "2020-12", "2021-01", "2021-02"]
-    assert "<svg" in render.columns(["a"], {"x": [1.0]}) and render.timeline([("2020-01-01", "x")]).startswith("<svg")
+    assert render.markdown("1. a\n   b\n2. *c*\n- d") == "<ol><li>a b</li><li><i>c</i></li></ol>\n<ul><li>d</li></ul>"
+    assert render.markdown("## T\none\n two [l](/x?a&b)") == '<h3>T</h3>\n<p>one two <a href="/x?a&amp;b" rel="noopener noreferrer">l</a></p>'
+    assert render.axis(7)[-1] >= 7 and render.axis(0.3) == [0.0, 0.1, 0.2, 0.3] and render.months("2020-11", "2021-02") == ["2020-11", "2020-12", "2021-01", "2021-02"]
+    assert "<svg" in render.columns(["a"], {"x": [1.0]}) and render.spans([("x", "2020-01-01", "2020-03-01")], [("2020-02-01", "<m>")]).startswith("<svg")
+    assert [render.btc(1234.5), render.btc(2), render.compact(12_345), render.short("abcdefghijklmnopqrstuvwxyz", 3)] == ["1,234.5 BTC", "2 BTC", "12.3k", "abc…xyz"]
+    assert render.el("p", "<&>", x='"') == '<p x="&quot;">&lt;&amp;&gt;</p>' and not render.allowed("javascript:x") and render.allowed("a/b")
     path = Path(tmp_path, "bad.json")
     path.write_text(json.dumps({"report_version": "0.1"}))
     assert cli.main(["validate", str(path)]) == 1 and "not supported" in capsys.readouterr().out
     assert cli.main(["show", str(tmp_path / "absent.json")]) == 1
+
+
+def test_revealed_set_of_another_snapshot_is_refused(tmp_path, capsys):
+    path = tmp_path / "utxo.dat"
+    path.write_bytes(snapshot.write_snapshot(_coins(), base_hash="11" * 32))
+    (tmp_path / "revealed.json").write_text(json.dumps({"base_hash": "22" * 32}))
+    assert cli.main(["utxo-stats", str(path), "--revealed", str(tmp_path / "revealed")]) == 1
+    assert "different snapshot" in capsys.readouterr().err
+    (tmp_path / "revealed.json").unlink()
+    assert cli.main(["utxo-stats", str(path), "--revealed", str(tmp_path / "revealed")]) == 1 and "is missing" in capsys.readouterr().err
+
+
+def test_progress_writes_tenths_to_a_log():
+    out = io.StringIO()
+    told = progress.Progress("reading", "coins", out)
+    for n in range(0, 101):
+        told(n, 100)
+    assert len(out.getvalue().splitlines()) == 11 and out.getvalue().splitlines()[-1] == "reading: 100%, 100 of 100 coins"

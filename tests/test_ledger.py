@@ -6,7 +6,9 @@ from ledgerflow.operators import clusters as C
 from ledgerflow.operators import ledger as L
 from ledgerflow.operators import outflow as O
 from ledgerflow.operators import trace as T
-from ledgerflow.plans import render, reports
+from ledgerflow.operators.graph import connected_components
+from ledgerflow.plans import catalog, render, reports
+from ledgerflow.sources import views as V
 
 PKH = "pubkeyhash"
 LINEAR = {
@@ -157,3 +159,80 @@ def test_trace_agrees_with_a_sequential_model(spark, tmp_path):
     want = sequential(blocks, ["a0", "a1"], 2, 25, 20_000_000, 2)
     found = T.trace(ledger(spark, tmp_path, blocks), seeds(spark, "a0", "a1"), 2, 25, 20_000_000, 0, 2)
     assert (rows(found.hops, "depth", "txid", "n", "address", "followed"), rows(found.service_stops, "depth", "txid", "outside")) == want
+
+
+def test_trace_resumes_levels(spark, tmp_path, monkeypatch):
+    chain, folder = ledger(spark, tmp_path, LINEAR), str(tmp_path / "levels")
+    fresh = T.trace(chain, seeds(spark, "S"), max_depth=3, min_sats=100_000)
+    T.trace(chain, seeds(spark, "S"), max_depth=2, min_sats=100_000, resume=folder)
+    worked, level = [], T._level
+    monkeypatch.setattr(T, "_level", lambda *a: worked.append(a[6]) or level(*a))
+    again = T.trace(chain, seeds(spark, "S"), max_depth=3, min_sats=100_000, resume=folder)
+    assert worked == [3] and again.levels == fresh.levels
+    for name in ("hops", "links", "transactions", "activity", "coinjoin_stops"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(fresh, name).collect()))
+    T.trace(chain, seeds(spark, "S", "U"), max_depth=1, min_sats=100_000, resume=folder)
+    assert worked == [3, 1]
+
+
+def test_components_of_any_size(spark):
+    """Both ways of joining edges, on chains, stars, rings and loops."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200), (300, 300), (301, 301), (301, 302), (None, 5)]
+    edges += [(rng.randrange(400, 480), rng.randrange(400, 480)) for _ in range(60)]
+    parent = {x: x for e in edges for x in e if None not in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    want = sorted((x, root(x)) for x in parent)
+    table = spark.createDataFrame(edges, "src long, dst long")
+    for few in (0, 1 << 17):
+        assert sorted(map(tuple, connected_components(table, few=few).collect())) == want
+        assert connected_components(table.limit(0), few=few).count() == 0
+    named = spark.createDataFrame([("b", "a"), ("c", "b"), ("é", "z")], "src string, dst string")
+    assert sorted(map(tuple, connected_components(named).collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("z", "z"), ("é", "z")]
+
+
+def test_full_trace_agrees_with_a_sequential_model(spark):
+    """The registered query, three levels with sweeps and a cap, against plain Python on the same ledger."""
+    data = "/root/testdata/sf0.001"
+    found = V.ledger(spark, data)
+    tx = {r["txid"]: r for r in found.tx.collect()}
+    blocks = {}
+    mixes = {r["txid"] for r in L.coinjoin_flags(found).where("coinjoin").collect()}
+    sides = {name: {} for name in ("vin", "vout")}
+    for name, table, place in (("vin", found.tx_in, "in_index"), ("vout", found.tx_out, "n")):
+        for r in table.collect():
+            sides[name].setdefault(r["txid"], []).append((r[place], r["address"], r["sats"]))
+    for txid, r in tx.items():
+        blocks.setdefault(r["height"], []).append((r["tx_index"], txid))
+    known = {r["address"] for r in V.seeds(spark, data).collect()}
+    frontier, done, want = dict.fromkeys(known, 0), set(), []
+    for depth in (1, 2, 3):
+        following = {}
+        for height in sorted(blocks):
+            for _, txid in sorted(blocks[height]):
+                senders = list(dict.fromkeys(a for _, a, _ in sorted(sides["vin"].get(txid, []))))
+                spenders = [a for a in senders if a in frontier]
+                if not spenders or txid in done or height < min(frontier[a] for a in spenders):
+                    continue
+                done.add(txid)
+                outs = sorted(sides["vout"].get(txid, []))
+                if txid in mixes or sum(a not in known for a in senders) >= catalog.SWEEP and len(outs) <= 2:
+                    continue
+                for n, address, sats in outs:
+                    follow = sats >= 2000 and address not in known and len(known) < 400
+                    if follow:
+                        known.add(address)
+                        following[address] = height
+                    want.append((depth, txid, n, address, sats, follow))
+        frontier = following
+    got = catalog.QUERIES["full_trace"](spark, data).select("depth", "txid", "n", "address", "sats", "followed").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
