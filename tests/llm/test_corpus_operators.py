@@ -140,11 +140,59 @@ def test_shards(spark):
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert len(loads) == 24 and max(loads.values()) <= 1.02 * min(loads.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    crc = {zlib.crc32((t or "").encode()) for _, t in rows}
-    assert {r["text_crc32"] for r in got} == crc
+    plain = sorted((i is None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got) == plain
+    by_slot = {}
+    for r in got:
+        by_slot.setdefault(r["vslot"], set()).add(r["shard"])
+    assert all(len(s) == 1 for s in by_slot.values())  # a virtual slot is in one shard
+    for shard in range(24):
+        mine = sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])
+        keys = [(r["vslot"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in mine]
+        assert keys == sorted(keys)
     assert sharding.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shards_with_hot_and_null_ids(spark):
+    text = "one text that half of all rows hold " * 4
+    rows = [(i if i % 2 else None, text) for i in range(6000)] + [(77, "a repeated row")] * 3000 + [(i, "x" * (i % 90)) for i in range(10000, 13000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign(docs.repartition(7)).select("doc_id", "size", "text_crc32", "shard", "slot").toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(loads) == 24 and loads.max() <= 1.02 * loads.min()
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+    again = sharding.assign(docs.repartition(3)).select("doc_id", "size", "text_crc32", "shard", "slot").toPandas()
+    key = ["size", "text_crc32", "shard", "slot"]
+    assert got.sort_values(key)[key].values.tolist() == again.sort_values(key)[key].values.tolist()
+
+
+def test_mix_of_rows_alike(spark):
+    rows = [(None, "a", 5)] * 4000 + [(i, "a", 7) for i in range(300)] + [(i, "b", 11) for i in range(900)] + [(None, None, 3)] * 100 + [(9, "c", 0)] * 3
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, source string, size long, weight double").repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for source, target in plain_mix(rows_of := [(*r, 1.0) for r in rows]).items():
+        mine = [r for r in got if r["source"] == source]
+        assert mine[0]["target"] == pytest.approx(target) and abs(sum(r["taken"] for r in mine) - target) <= 7 and all(r["taken"] <= 3 * r["size"] for r in mine)
+    assert len(rows_of) == len(got)
+
+
+def test_mix_is_a_prefix_of_the_order_of_keys(spark):
+    """Against a sort of all keys in plain Python."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice("abc"), rng.randrange(0, 50), rng.choice([0.1, 0.5, 1.0])) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, weight double")
+    u = {r[0]: r[1] for r in docs.select("doc_id", mixing.uniform(F.col("doc_id"))).collect()}
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
+    for source, target in plain_mix(rows).items():
+        mine = sorted((1 - u[i] ** (1 / w), str(i), n, i) for i, s, n, w in rows if s == source)
+        whole = sum(x[2] for x in mine)
+        epochs, before = int(target // whole), 0
+        for _, _, n, i in mine:
+            assert got[i] == epochs * n + (n if before + n / 2 <= target - epochs * whole else 0)
+            before += n
+
+
 def test_map_edits_move_little():
     rng = random.Random(2)
     load = [rng.randrange(1000, 2000) for _ in range(sharding.SLOTS)]
@@ -178,6 +226,8 @@ def test_neighbours_recall_and_edges(spark):
         assert all(r["score"] == pytest.approx(d[r["vec_id"]], abs=1e-12) for r in mine)
         hits += len({r["vec_id"] for r in mine} & set(want))
         total += 10
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert neighbours.recall(spark.createDataFrame(got), table) >= 0.9
     assert hits / total >= 0.9 and {r["query_id"] for r in got} == set(range(0, 1500, 100))
     few = neighbours.nearest(spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")).collect()
     assert [r["vec_id"] for r in sorted(few, key=lambda r: r["rank"])] != [] and len(few) == 3
@@ -230,6 +280,60 @@ def test_quality(spark, documents):
     assert quality.keep_good(documents, labels).columns == documents.columns
 
 
+def test_quality_agrees_with_plain_arithmetic(spark, documents):
+    """The discriminant from scratch: means, shrunk covariances, log densities by solving instead of factors."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    x = {r["doc_id"]: np.array(quality.statistics(r["text"])) for r in documents.where("doc_id IS NOT NULL").collect()}
+    taught = [i for i in x if i in truth and zlib.crc32(str(i).encode()) % 5]
+    every = np.array([x[i] for i in taught])
+    scale = np.sqrt(np.maximum(every.var(axis=0), 1e-9))
+    parts = {}
+    for label in (0, 1):
+        z = np.array([x[i] for i in taught if truth[i] == label]) / scale
+        d, shrink = z.shape[1], max(quality.SHRINKAGE, min(1.0, z.shape[1] / len(z)))
+        cov = np.cov(z.T, bias=True)
+        cov = (1 - shrink) * cov + (shrink * np.trace(cov) / d + quality.FLOOR) * np.eye(d)
+        parts[label] = (z.mean(axis=0), cov, np.log(len(z) / len(taught)) - 0.5 * np.linalg.slogdet(cov)[1])
+    density = lambda v, k: parts[k][2] - 0.5 * (v / scale - parts[k][0]) @ np.linalg.solve(parts[k][1], v / scale - parts[k][0])
+    for r in quality.score_documents(documents, labels).collect():
+        if r["doc_id"] is not None:
+            v = x[r["doc_id"]]
+            assert r["score"] == pytest.approx(1 / (1 + np.exp(np.clip((density(v, 0) - density(v, 1)) / quality.TEMPERATURE, -700, 700))), abs=1e-6)
+
+
+def test_language_weights_agree_with_one_coordinate_at_a_time():
+    """Follow-the-regularised-leader in plain loops, a coordinate at a time."""
+    rng = random.Random(3)
+    idf = np.ones(language.FEATURES)
+    samples = [(*language.vector("".join(rng.choice("abcde"[k : k + 3]) for _ in range(12)), idf), "xyz"[k]) for k in (0, 1, 2) for _ in range(8)]
+    rng.shuffle(samples)
+    model = language.train(samples, idf)
+    used, names = [s for i, s in enumerate(samples) if i % 5 or len(samples) < 25], "xyz"
+    z, n = {}, {}
+
+    def weight(key):
+        zi, ni = z.get(key, 0.0), n.get(key, 0.0)
+        return 0.0 if abs(zi) <= language.L1 else (np.sign(zi) * language.L1 - zi) / ((language.BETA + ni**0.5) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(5)
+    for _ in range(language.EPOCHS):
+        for i in order.permutation(len(used)):
+            at, value, name = used[i]
+            x = [*zip(at.tolist(), value.tolist(), strict=True), (-1, 1.0)]
+            w = {(f, k): weight((f, k)) for f, _ in x for k in range(3)}
+            raw = [sum(v * w[f, k] for f, v in x) for k in range(3)]
+            e = np.exp(np.array(raw) - max(raw))
+            error = e / e.sum() - np.array([name == c for c in names])
+            for f, v in x:
+                for k in range(3):
+                    g = v * error[k]
+                    z[f, k] = z.get((f, k), 0.0) + g - ((n.get((f, k), 0.0) + g * g) ** 0.5 - n.get((f, k), 0.0) ** 0.5) / language.ALPHA * w[f, k]
+                    n[f, k] = n.get((f, k), 0.0) + g * g
+    for f, k in z:
+        assert (model.bias[k] if f < 0 else model.weights[f, k]) == pytest.approx(weight((f, k)), abs=1e-9)
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(i, f"the common words of text number {i} and others", "aa") for i in range(3000)] + [(i, "zyx wvu żółć qqq", "bb") for i in range(3000, 3006)] + [(3006, "łąk śnieg ćma", "cc"), (3007, "łąk śnieg ćma", "cc"), (3008, "łąk śnieg ćma", "cc")]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)

@@ -169,7 +169,7 @@ def test_tiff_pages_and_damage(spark):
     struct.pack_into("<I", ring, len(ring) - 4, struct.unpack_from("<I", ring, 4)[0])
     rows = [(1, bytearray(good)), (2, None), (3, bytearray(b"")), (4, bytearray(b"junk")), (5, bytearray(good[:-40])), (6, ring)]
     got = tiff.decode_pages(spark.createDataFrame(rows, "doc_id long, media binary"), "doc_id", "media").collect()
-    of = lambda i: [r for r in got if r["id"] == i]
+    of = lambda i: [r for r in got if r["doc_id"] == i]
     assert [r["page"] for r in of(1)] == [0, 1, 2] and b"".join(bytes(r["pixels"]) for r in of(1)).startswith(b"hello ")
     assert of(2) == of(3) == [] and of(4)[0]["error"] and of(5)[-1]["error"] and "ring" in of(6)[-1]["error"]
 
@@ -182,3 +182,130 @@ def test_tiff_digests(docs, empty):
         assert (row["n_bytes"], row["payload_bytes"]) == (len(raw), len(payload))
         assert row["payload_sha256"] == hashlib.sha256(payload).hexdigest() and row["tail_crc32"] == zlib.crc32(payload[-32:])
     assert tiff.text_digests(empty).count() == 0
+
+
+def test_codecs_read_foreign_bytes():
+    """The examples of the format's specification and of the packing's technical note."""
+    spec = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.lzw_decode(bytes.fromhex("8001e0408044080c068080"), 9) == spec == tiff.lzw_decode(tiff.lzw_encode(spec), 9)
+    packed, plain = "feaa0280002afdaa0380002a22f7aa", "aa" * 3 + "80002a" + "aa" * 4 + "80002a22" + "aa" * 10
+    assert tiff.packbits_decode(bytes.fromhex(packed), 24).hex() == plain
+
+
+def slow_lzw(data):
+    """Codes one by one, as text of bits: an encoder that shares nothing with the operator's."""
+    table, bits, width, word = {bytes((i,)): i for i in range(256)}, [f"{256:09b}"], 9, b""
+    following = 258
+    for i in range(len(data)):
+        if word + data[i : i + 1] in table:
+            word += data[i : i + 1]
+            continue
+        bits.append(f"{table[word]:0{width}b}")
+        table[word + data[i : i + 1]] = following
+        following += 1
+        width = 9 if following < 511 else 10 if following < 1023 else 11 if following < 2047 else 12
+        if following == 4095:
+            bits.append(f"{256:012b}")
+            table, following, width = {bytes((i,)): i for i in range(256)}, 258, 9
+        word = data[i : i + 1]
+    if word:
+        bits.append(f"{table[word]:0{width}b}")
+        width = 9 if following + 1 < 511 else 10 if following + 1 < 1023 else 11 if following + 1 < 2047 else 12
+    text = "".join(bits) + f"{257:0{width}b}"
+    text += "0" * (-len(text) % 8)
+    return int(text, 2).to_bytes(len(text) // 8, "big")
+
+
+@pytest.mark.parametrize("n", [1, 252, 253, 254, 255, 700, 764, 765, 766, 5000, 30000])
+def test_lzw_agrees_with_a_slow_encoder(n):
+    rng = random.Random(n)
+    for data in (rng.randbytes(n), bytes(rng.choice(b"the quick brown fox") for _ in range(n))):
+        assert tiff.lzw_decode(slow_lzw(data), n) == data
+
+
+def test_tiff_shallow_and_float_samples():
+    rng = np.random.default_rng(2)
+    for bits in (1, 2, 4):
+        pixels = rng.integers(0, 1 << bits, (5, 11), dtype=np.uint8)
+        rows = b"".join(np.packbits(np.unpackbits(row[:, None], axis=1)[:, 8 - bits :].reshape(-1)).tobytes() for row in pixels)
+        assert (next(tiff.read_tiff(one_strip(rows, 11, 5, bits)))["pixels"][:, :, 0] == pixels).all()
+    floats = rng.normal(size=(3, 7)).astype(">f4")
+    planes = np.frombuffer(floats.tobytes(), np.uint8).reshape(3, 7, 4).transpose(0, 2, 1).reshape(3, 28)
+    rows = np.concatenate((planes[:, :1], np.diff(planes, axis=1)), axis=1).tobytes()
+    assert (next(tiff.read_tiff(one_strip(rows, 7, 3, 32, (317, 3), (339, 3))))["pixels"][:, :, 0] == floats).all()
+    for fields in ([(256, 0)], [(277, 0)], [(317, 9)], [(266, 2)], [(258, 13)], [(259, 77)], [(278, 0)]):
+        with pytest.raises(tiff.TiffError):
+            list(tiff.read_tiff(one_strip(b"\0" * 8, 8, 1, 8, *fields)))
+
+
+def one_strip(data, width, height, bits, *more):
+    """A file of one uncompressed strip; ``more`` fields replace the usual ones."""
+    fields = {256: width, 257: height, 258: bits, 259: 1, 262: 1, 273: 8, 277: 1, 278: height, 279: len(data)} | dict(more)
+    head = b"II*\0" + struct.pack("<I", 8 + len(data) + len(data) % 2)
+    entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(fields.items()))
+    return head + data + b"\0" * (len(data) % 2) + struct.pack("<H", len(fields)) + entries + b"\0\0\0\0"
+
+
+def test_damaged_files_are_tiff_errors():
+    rng, good = random.Random(9), tiff.text_to_tiff(tiff.payload_of("damage " * 300)[0])
+    empty = bytearray(one_strip(b"\0" * 8, 8, 1, 8))
+    at = struct.unpack_from("<I", empty, 4)[0] + 2
+    struct.pack_into("<I", empty, at + 4, 0)  # a width of no values
+    tried = [bytes(empty)]
+    for _ in range(400):
+        bad = bytearray(good)
+        for _ in range(rng.randrange(1, 6)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        tried.append(bytes(bad[: rng.randrange(len(bad))] if rng.random() < 0.2 else bad))
+    for data in tried:
+        try:
+            for _ in tiff.read_tiff(data):
+                pass
+        except tiff.TiffError:
+            pass
+
+
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:""",
+    "Apache-2.0": """Copyright 2019 Somebody Else
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "BSD-3-Clause": """Copyright (c) 2001, The Owner. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.""",
+    "GPL-3.0": """This file is part of Something.
+
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+}
+
+
+@pytest.mark.parametrize("lead", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("family", NOTICES)
+def test_whole_notices_as_they_stand_in_files(family, lead):
+    """Notices as files hold them, wrapped: their words go beyond the templates'."""
+    model = licences.train()
+    wrapped = "\n\n".join(textwrap.fill(p, 72, initial_indent=lead, subsequent_indent=lead) for p in NOTICES[family].split("\n\n"))
+    assert {h[1] for h in model.scan("import this\n\n" + wrapped + "\n\ndef main(): pass\n")} == {family}
+
+
+def test_licence_tags_and_every_paragraph():
+    model = licences.train()
+    for family in licences.TEMPLATES:
+        assert [h[:2] for h in model.scan(f"#!/bin/sh\n# {licences.TAG}{family}\n\nexit 0\n")] == [(1, family)]
+    far = "plain words of a long text " * 4000 + "\n\nReleased under the ISC License.\n\n" + "and more of them " * 4000
+    assert [h[:2] for h in model.scan(far)] == [(2, "ISC")]
+    # windows are chosen by the model alone: what it finds likely is the same for the words by themselves
+    words = licences.words_of("nothing here " * 30 + "licensed under cc by 4.0. " + "nor here " * 30)
+    assert any(model.families[f] == "CC-BY-4.0" and a <= 60 < b for a, b, f in model.likely(words))
