@@ -81,7 +81,10 @@ def trace(args) -> int:
 
     spark = _spark()
     seeds = _seeds(spark, args)
-    found = run(read_ledger(spark, args.ledger), seeds, args.depth, args.max_addresses, round(args.min_value * 1e8), args.start_height, args.service_min_inputs)
+    found = run(read_ledger(spark, args.ledger), seeds, args.depth, args.max_addresses, round(args.min_value * 1e8), args.start_height, args.service_min_inputs, resume=args.resume)
+    if args.tables:
+        reports.write_tables(found, args.tables, seeds)
+        return 0
     report = reports.trace_report(found, seeds)
     _emit(report, args.out)
     if args.html:
@@ -236,7 +239,7 @@ def parser() -> argparse.ArgumentParser:
     command("sanctions", sanctions, ("xml", {}), ("--ticker", {"default": "XBT"}), out)
     command("tx", tx, ("txid", {}), out)
     limits = (("--depth", {"type": int, "default": 2}), ("--max-addresses", {"type": int, "default": 100}), ("--min-value", {"type": float, "default": 0.0}), ("--start-height", {"type": int, "default": 0}), ("--service-min-inputs", {"type": int, "default": 20}))
-    command("trace", trace, *seeds, ("--ledger", {"required": True}), *limits, ("--html", {}), out)
+    command("trace", trace, *seeds, ("--ledger", {"required": True}), *limits, ("--resume", {}), ("--tables", {}), ("--html", {}), out)
     command("exposure", exposure, *seeds, ("--ledger", {"required": True}), ("--utxo", {"required": True}), out)
     command("show", show, ("report", {}), ("--rows", {"type": int, "default": 20}))
     command("validate", validate, ("report", {}))

@@ -16,6 +16,7 @@ from ledgerflow.operators import ledger as L
 from ledgerflow.operators import outflow as O
 from ledgerflow.operators import trace as T
 from ledgerflow.operators import utxo as U
+from ledgerflow.session import materialize
 
 VERSIONS = {"trace": "1.0", "exposure": "1.0", "utxo-set": "1.1"}
 INTERNAL, SERVICE = "internal consolidation (heuristic)", "service consolidation (heuristic)"
@@ -269,13 +270,25 @@ def _flow(row: Any) -> dict:
     return {m: _btc(sats[m]) for m in FLOW if m in sats} | {"spending_txs": int(row["spending_txs"]), "total": _btc(low), "total_core": _btc(high)}
 
 
+def write_tables(found: T.Trace, path: str, seed_info: DataFrame | None = None) -> None:
+    """A trace of any size as Parquet tables under ``path``: what trace_report() lists, without a row passing the driver."""
+    full, core = C.two_views(found.links, found.seeds)
+    listed = materialize(C.clusters(found.links, found.seeds, full, core), "clusters")
+    info = seed_info if seed_info is not None else found.seeds.selectExpr("address", "CAST(NULL AS STRING) sdn_ref", "CAST(NULL AS STRING) sdn_name")
+    tables = {n: getattr(found, n) for n in ("transactions", "hops", "coinjoin_stops", "service_stops", "links", "activity", "unexplored")}
+    tables |= {"clusters": listed, "members": full.join(core, "address", "left"), "outflow": O.cluster_outflow(found, listed, full, core), "seeds": T.seed_summaries(found)}
+    tables |= {"sweeps": O.classify_sweeps(found, full, core), "entities": O.entity_outflow(found, info, full, core), "months": O.entity_months(found, info, full, core)}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def trace_report(found: T.Trace, seed_info: DataFrame | None = None) -> dict:
-    """The trace report. It lists every record, so it is for traces that fit a document; larger ones stay tables."""
+    """The trace report. It lists every record, so it is for traces that fit a document; write_tables() is for others."""
     spark = found.seeds.sparkSession
     info = seed_info if seed_info is not None else spark.createDataFrame([], "address string, sdn_ref string, sdn_name string")
     names = {r["address"]: r for r in info.join(found.seeds, "address", "left_semi").where("sdn_ref IS NOT NULL").collect()}
     full, core = C.two_views(found.links, found.seeds)
-    listed = C.clusters(found.links, found.seeds, full, core)
+    listed = materialize(C.clusters(found.links, found.seeds, full, core), "clusters")
     flows = {r["cluster"]: r.asDict() for r in O.cluster_outflow(found, listed, full, core).collect()}
     internal = {r["txid"] for r in O.classify_sweeps(found, full, core).where("internal").collect()}
     members: dict[str, list[str]] = {}
@@ -292,7 +305,8 @@ def trace_report(found: T.Trace, seed_info: DataFrame | None = None) -> dict:
     for r in O.entity_months(found, info, full, core).orderBy("month").collect():
         months.setdefault(r["sdn_ref"], {})[r["month"]] = [_btc(r["low"]), _btc(r["high"])]
     entity_names = {r["sdn_ref"]: r["sdn_name"] for r in names.values()}
-    total = O.outflow_total(O.cluster_outflow(found, listed, full, core)).first().asDict()
+    sums = [sum(f[m] for f in flows.values() if f["seeds"]) for m in (*O.MEASURES, "spending_txs")]
+    total = dict(zip((*O.MEASURES, "spending_txs"), sums, strict=True))
     stop = lambda r: {"depth": r["depth"], "height": r["height"], "date": _day(r["date"]), "txid": r["txid"], "from_addresses": r["spenders"], "traced_value_btc": _btc(r["traced_sats"])}
     p = found.parameters
     return {
