@@ -196,7 +196,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def pieces(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """Distinct pieces of all texts: (piece)."""
+    """Distinct pieces of all texts: (piece). Null and empty texts have none, other columns are left aside, an empty table gives none."""
     return docs.select(F.explode(F.regexp_extract_all(text_col, F.lit("(?U)" + pattern), F.lit(0))).alias("piece")).distinct()
 
 
@@ -205,6 +205,7 @@ def fold_pieces(words: DataFrame, path: str) -> DataFrame:
 
     The state of the fold is the piece's parts, as hex, and the rank of each adjacent pair; a step joins the first
     pair of smallest rank and looks up its two new neighbours. The ranks are a literal array of small maps, found by hash.
+    Null and empty pieces are left out, as are other columns; rows alike give rows alike; an empty table gives none.
     """
     spark = words.sparkSession
     ranks = spark.createDataFrame([(t.hex(), r) for t, r in read_ranks(path).items()], "h string, r int")

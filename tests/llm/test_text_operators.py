@@ -59,6 +59,11 @@ def test_bpe_fold_in_higher_order_functions(spark):
     words = spark.createDataFrame([("hello there, naïve 日本語 wonderfully aaaaaaaa 🙂",), ("antidisestablishmentarianism",)], "text string")
     found = bpe.fold_pieces(bpe.pieces(words, public_tokenizers.PATTERN), PATH).collect()
     assert len(found) > 6 and all(r["ids"] == bpe.merge(r["piece"].encode(), ranks) for r in found)
+    odd = spark.createDataFrame([(None, 1, "p"), ("", 2, "p"), ("twice twice", 3, "p"), ("twice twice", 4, "p")], "text string, h int, p string")
+    pieces = bpe.pieces(odd, public_tokenizers.PATTERN)
+    assert sorted(r[0] for r in pieces.collect()) == [" twice", "twice"]
+    again = bpe.fold_pieces(spark.createDataFrame([(None, 1), ("", 2), ("ab", 3), ("ab", 4)], "piece string, r int"), PATH)
+    assert [r["ids"] for r in again.collect()] == [bpe.merge(b"ab", ranks)] * 2 and bpe.fold_pieces(pieces.limit(0), PATH).count() == 0
 
 
 def test_bpe_long_pieces():
