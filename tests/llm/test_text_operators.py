@@ -135,7 +135,8 @@ def test_licence_notices_wrapped(spark):
                 wrapped = textwrap.fill(t, 72, initial_indent=lead, subsequent_indent=lead)
                 for end in ("\n", "\r\n"):
                     assert [h[:2] for h in model.scan(("Before.\n\n" + wrapped + "\n\nAfter.").replace("\n", end))] == [(2, family)]
-    assert model.scan("Released under\n\nthe MIT License.") == []
+    assert model.scan("Licensed under the Apache\n\nLicense, Version 2.0.") == []  # notices end at blank lines
+    assert [h[:2] for h in model.scan("Released under\n\nthe MIT License.")] == [(2, "MIT")]  # its name is a template of its own
     mit = "intro\n" + textwrap.fill(licences.TEMPLATES["MIT"][2], 72)
     row = licences.scan_licences(spark.createDataFrame([(1, mit)], "doc_id long, text string"), model).first()
     assert (row["families"], row["n_notices"], row["first_paragraph"]) == ("MIT", 1, 1)
@@ -208,14 +209,14 @@ def slow_lzw(data):
         bits.append(f"{table[word]:0{width}b}")
         table[word + data[i : i + 1]] = following
         following += 1
-        width = 9 if following < 511 else 10 if following < 1023 else 11 if following < 2047 else 12
+        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
         if following == 4095:
             bits.append(f"{256:012b}")
             table, following, width = {bytes((i,)): i for i in range(256)}, 258, 9
         word = data[i : i + 1]
     if word:
         bits.append(f"{table[word]:0{width}b}")
-        width = 9 if following + 1 < 511 else 10 if following + 1 < 1023 else 11 if following + 1 < 2047 else 12
+        width = 9 if following + 1 < 512 else 10 if following + 1 < 1024 else 11 if following + 1 < 2048 else 12
     text = "".join(bits) + f"{257:0{width}b}"
     text += "0" * (-len(text) % 8)
     return int(text, 2).to_bytes(len(text) // 8, "big")
