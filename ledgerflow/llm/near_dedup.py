@@ -185,6 +185,9 @@ def _across(texts: DataFrame, ends: DataFrame, words: int, percent: int) -> Data
     several heads can be; documents with too few of them are out. The rest meet in the rarest of these shingles, as
     many as leave less than the needed number (prefix filter). Where two first meet, what is left of either from
     there on must allow the link, and so must sizes and sketches.
+
+    What is left also bounds the size of a document's partners. A place in a shingle's list is given up where no other
+    document of the list is within it: documents that have a long passage in common, but each too much of its own, never meet.
     """
     p = percent
     told = ends.join(_grows(texts), "node").select("doc", "head", "text").mapInArrow(_tokens(words), "token long, doc long, head long, n long")
@@ -193,8 +196,13 @@ def _across(texts: DataFrame, ends: DataFrame, words: int, percent: int) -> Data
     common = rows.join(_grows(materialize(shared, "minmax-shared")), "token")
     whole, rarest = Window.partitionBy("doc"), Window.partitionBy("doc").orderBy("df", "token")
     able = common.withColumn("r", F.count("*").over(whole)).where(f"100 * r >= {p} * n").withColumn("at", F.row_number().over(rarest))
-    prefix = able.where(f"at <= r - ceil({p} * n / 100) + 1").select("token", "doc", "head", "n", "r", "at")
-    prefix = materialize(prefix.join(_grows(ends.select("doc", "node", *SKETCH)), "doc"), "minmax-prefix")
+    most = F.expr(f"floor((100 + {p}) * (r - at + 1) / {p}) - n")  # of a partner's shingles
+    prefix = able.where(f"at <= r - ceil({p} * n / 100) + 1").withColumn("most", most).select("token", "doc", "head", "n", "r", "at", "most")
+    prefix = materialize(prefix, "minmax-prefix")
+    lists = prefix.groupBy("token").agg(F.min("n").alias("least"), F.max("most").alias("room"), F.min("head").alias("lo"), F.max("head").alias("hi"))
+    lists = materialize(lists.where("lo <> hi AND least <= room").select("token", "least", "room"), "minmax-lists")
+    prefix = prefix.join(_grows(lists), "token").where("least <= most AND n <= room").drop("least", "room", "most")
+    prefix = materialize(prefix.join(_grows(ends.select("doc", "node", *SKETCH)), "doc"), "minmax-meeting")
     need = f"{p} * (x.n + y.n)"  # 100 + p times the shingles in common
     sizes = f"x.head < y.head AND 100 * x.n >= {p} * y.n AND 100 * y.n >= {p} * x.n"
     fits = f"{sizes} AND (100 + {p}) * (1 + least(x.r - x.at, y.r - y.at)) >= {need} AND {_alike('x', 'y')}"

@@ -65,6 +65,29 @@ def test_near_duplicates_agree_with_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_documents_with_a_passage_in_common_do_not_meet(spark, monkeypatch):
+    """Of 150 documents that share most of their text but not enough, no pair is looked at; the real copies among them are found."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(100)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(19))])) for i in range(150)]
+    for i in range(0, 40, 2):  # copies with a word changed
+        words = rows[i][1].split()
+        words[110] = word()
+        rows.append((1000 + i, " ".join(words)))
+    met, across = [], near_dedup._across
+
+    def watched(*a):
+        out = across(*a)
+        met.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_across", watched)
+    got = near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(rows))
+    assert met and met[0] <= 150
+
+
 def test_near_duplicates_edges(spark):
     rows = [(5, None), (6, ""), (7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, "A  B c D e f"), (None, "alone and without id")]
     got = near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
