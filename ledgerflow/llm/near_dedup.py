@@ -5,10 +5,11 @@ document; both are banded. Documents that share a band are candidates, and a can
 the full shingle sets confirm it.
 
 Work is done on distinct texts. In a bucket, every text is compared with one pivot, the text whose buckets are
-the fullest (copies of a common original meet in the original's buckets). Every text then belongs to the part of the
-most central pivot that it is linked with. Buckets that hold several parts are gone through again, texts of different
-parts only: small buckets pair by pair, large ones by a prefix filter on their texts' shingles. So no link between
-components is lost, and a group of many copies never becomes all its pairs.
+the fullest (copies of a common original meet in the original's buckets). The links found give components. Buckets that
+hold several are gone through again, texts of different components only. First, where a component has many texts in a
+bucket, texts of others are compared with a few of them, drawn anew in every turn. Then all pairs that are left are looked
+at: small buckets pair by pair, large ones by a prefix filter on their texts' shingles. So no link between components is
+lost, and a group of many copies, linked by then, doesn't become its pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ LEAST_PERCENT = 80
 SKETCH = tuple(f"s{i}" for i in range(2 * HASHES // 16))
 #: Buckets of up to so many texts are compared pair by pair in the second round; larger ones by shared shingles.
 SMALL_BUCKET = 12
+#: Turns at most in which texts are compared with drawn ones of a large component, and draws in a bucket; a turn's pairs
+#: are so many times its rows at most.
+TURNS, DRAWS = 3, 4
+#: Pairs tried in a turn agree in so many values: 95% of the links at 0.8, and few others. The rest waits for the last round.
+TURN_EQUAL = 72
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 #: Entries kept of the word hashes before they are forgotten.
 _WORDS_KEPT = 1 << 18
@@ -110,13 +116,13 @@ def sketches(signatures: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(c).view(np.int64) for c in packed.T]
 
 
-def _alike(x: str, y: str) -> str:
-    """SQL: the sketches of x and y agree in LEAST_EQUAL values at least."""
+def _alike(x: str, y: str, least: int = LEAST_EQUAL) -> str:
+    """SQL: the sketches of x and y agree in ``least`` values at least."""
     differ = []
     for s in SKETCH:
         z = f"({x}.{s} ^ {y}.{s})"
         differ.append(f"bit_count(({z} | shiftrightunsigned({z}, 1) | shiftrightunsigned({z}, 2) | shiftrightunsigned({z}, 3)) & 1229782938247303441L)")
-    return f"{' + '.join(differ)} <= {2 * HASHES - LEAST_EQUAL}"
+    return f"{' + '.join(differ)} <= {2 * HASHES - least}"
 
 
 def _signer(words: int, hashes: int, rows: int):
@@ -162,7 +168,7 @@ def _verifier(words: int, percent: int):
                 both = len(np.intersect1d(mine, last, assume_unique=True))
                 if 100 * both >= percent * (len(mine) + len(last) - both):
                     hits.append(i)
-            yield batch.select(["u", "v", "central"]).take(pa.array(hits, pa.int32()))
+            yield batch.select(["u", "v"]).take(pa.array(hits, pa.int32()))
 
     return verify
 
@@ -231,48 +237,82 @@ def _least_id(node):
     return F.when(F.substring(node, 1, 1) == F.lit(b"\0"), number)
 
 
+def _drawn(rows: DataFrame, turn: int) -> DataFrame:
+    """Up to DRAWS texts of every bucket's largest component, if it has over SMALL_BUCKET there; others in every turn: (band, part, node)."""
+    draws = [F.min_by("node", F.xxhash64("node", "band", F.lit(turn * DRAWS + i))).alias(f"d{i}") for i in range(DRAWS)]
+    names = [f"d{i}" for i in range(DRAWS)]
+    largest = rows.groupBy("band", "part").agg(F.count("*").alias("many"), *draws).where(f"many > {SMALL_BUCKET}").groupBy("band").agg(F.max(F.struct("many", "part", *names)).alias("top"))
+    return largest.select("band", "top.part", F.explode(F.array_distinct(F.array(*[f"top.{n}" for n in names]))).alias("node"))
+
+
 def _links(base: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v, ...) between the nodes of ``texts``: every pair of a bucket of similar texts that is one, or a path of them."""
+    """Links (u, v) between the nodes of ``texts``: every pair of a bucket of similar texts that is one, or a path of them."""
 
-    def confirmed(these: DataFrame, tag: str) -> DataFrame:
-        a, b = (held.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
+    def confirmed(these: DataFrame, among: DataFrame, tag: str) -> tuple[DataFrame, int]:
+        a, b = (among.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("u", "a"), ("v", "b")))
         sides = these.join(_grows(a), "u").join(_grows(b), "v")
-        return materialize(sides.mapInArrow(_verifier(words, percent), "u binary, v binary, central long"), tag)
+        out, seen = measured(sides.mapInArrow(_verifier(words, percent), "u binary, v binary"), tag, n="count(*)")
+        return out, seen["n"]
+
+    def apart(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, dict]:
+        """The rows (band, held, node, part) of buckets that hold several components, part being a text's component."""
+        named = connected_components(links, "u", "v")
+        placed = rows.join(_grows(named), "node", "left").select("band", "held", "node", F.coalesce("component", "node").alias("part"))
+        placed = materialize(placed, "minmax-placed")
+        several = placed.groupBy("band").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("band")
+        several = materialize(several, "minmax-apart")
+        return measured(placed.join(_grows(several), "band"), "minmax-still", n="count(*)", large=f"count_if(held > {SMALL_BUCKET})")
+
+    def ordered(these: DataFrame) -> DataFrame:
+        return these.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
     bands = texts.select("node", F.explode("bands").alias("band"))
     buckets = materialize(bands.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "minmax-buckets")
     # a text has a row per band: its sum is over 24 rows at most
     members = bands.join(_grows(buckets), "band").withColumn("central", F.sum("held").over(Window.partitionBy("node")))
     members = materialize(members, "minmax-members")
-    pivots = members.groupBy("band").agg(F.max(F.struct("central", "node")).alias("top")).select("band", F.col("top.node").alias("v"), F.col("top.central").alias("central"))
-    met = members.drop("central").join(_grows(materialize(pivots, "minmax-pivots")), "band").where("node <> v")
-    pairs = materialize(met.select(F.col("node").alias("u"), "v", "central").distinct(), "minmax-pairs")
+    pivots = members.groupBy("band").agg(F.max(F.struct("central", "node")).alias("top")).select("band", F.col("top.node").alias("v"))
+    met = members.select("band", "node").join(_grows(materialize(pivots, "minmax-pivots")), "band").where("node <> v")
+    pairs = materialize(met.select(F.col("node").alias("u"), "v").distinct(), "minmax-pairs")
     needed = texts.join(_grows(members.select("node").distinct()), "node", "left_semi").select("node", F.col("key").alias("k"), F.col("least_id").alias("i"))
     copies = base.join(_grows(needed), (base.key == needed.k) & base.id.eqNullSafe(needed.i))
     held = materialize(copies.groupBy("node").agg(F.first("text").alias("text")), "minmax-held")
-    links = confirmed(pairs, "minmax-links")
-    # buckets that the links to pivots leave in several parts; a text's part is the most central pivot that it is linked with
-    led = links.groupBy(F.col("u").alias("node")).agg(F.max(F.struct("central", "v")).alias("top")).select("node", F.col("top.v").alias("part"))
-    placed = members.join(_grows(led), "node", "left").select("band", "held", "node", F.coalesce("part", "node").alias("part"))
-    placed, _ = measured(placed, "minmax-placed", n="count(*)")
-    apart = placed.groupBy("band").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("band")
-    apart, seen = measured(apart, "minmax-apart", n="count(*)")
+    links, _ = confirmed(pairs, held, "minmax-links")
+    tried = ordered(pairs)
+    sketched = texts.select("node", "n", *SKETCH)
+    sizes = f"100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n"
+    still, seen = apart(members.select("band", "held", "node"), links)
+    if seen["large"]:
+        mass = materialize(held.join(_grows(still.where(F.col("held") > SMALL_BUCKET).select("node").distinct()), "node", "left_semi"), "minmax-mass")
+    for turn in range(TURNS):
+        if not seen["large"]:
+            break
+        large = still.where(F.col("held") > SMALL_BUCKET)
+        drawn = materialize(_drawn(large, turn).join(_grows(sketched), "node"), "minmax-drawn")
+        met = large.join(_grows(sketched), "node").alias("x").join(_grows(drawn.alias("y")), "band").where(f"x.part <> y.part AND {sizes} AND {_alike('x', 'y', TURN_EQUAL)}")
+        met = ordered(met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))).distinct().join(_grows(tried), ["u", "v"], "left_anti")
+        met, many = measured(met, "minmax-turn", n="count(*)")
+        if not many["n"]:
+            break
+        more, n = confirmed(met, mass, "minmax-turned")
+        tried = tried.union(met)
+        if not n:
+            break
+        links = links.union(more)
+        still, seen = apart(still.drop("part"), links)
     if not seen["n"]:
-        return links.select("u", "v")
-    still, seen = measured(placed.join(_grows(apart), "band"), "minmax-still", large=f"count_if(held > {SMALL_BUCKET})")
-    small = still.where(F.col("held") <= SMALL_BUCKET).join(_grows(texts.select("node", "n", *SKETCH)), "node")
-    fits = f"x.part < y.part AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n AND {_alike('x', 'y')}"
-    likely = small.alias("x").join(_grows(small.alias("y")), "band").where(fits).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+        return links
+    small = still.where(F.col("held") <= SMALL_BUCKET).join(_grows(sketched), "node")
+    likely = small.alias("x").join(_grows(small.alias("y")), "band").where(f"x.part < y.part AND {sizes} AND {_alike('x', 'y')}").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
     if seen["large"]:
         ends = still.where(F.col("held") > SMALL_BUCKET).select("node", F.xxhash64("node").alias("doc"), F.xxhash64("part").alias("head")).distinct()
         ends = materialize(ends.join(_grows(texts.select("node", *SKETCH)), "node"), "minmax-ends")
-        likely = likely.union(_across(held, ends, words, percent))
-    tried = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    likely = likely.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(_grows(tried), ["u", "v"], "left_anti")
-    likely, seen = measured(likely.withColumn("central", F.lit(0).cast("long")), "minmax-likely", n="count(*)")
-    if seen["n"]:
-        links = links.union(confirmed(likely, "minmax-more"))
-    return links.select("u", "v")
+        likely = likely.union(_across(mass, ends, words, percent))
+    likely = ordered(likely).distinct().join(_grows(tried), ["u", "v"], "left_anti")
+    likely, many = measured(likely, "minmax-likely", n="count(*)")
+    if many["n"]:
+        links = links.union(confirmed(likely, held, "minmax-more")[0])
+    return links
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:

@@ -88,6 +88,29 @@ def test_documents_with_a_passage_in_common_do_not_meet(spark, monkeypatch):
     assert met and met[0] <= 150
 
 
+def test_copies_of_copies_do_not_become_their_pairs(spark, monkeypatch):
+    """Of 221 linked texts 80 are too far from most others, with which they share every change: few pairs are left for the shingle lists."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+
+    base, other = ([word() for _ in range(120)] for _ in range(2))
+    changes = [[], *([i] for i in range(4, 116, 4) for _ in range(5)), *(rng.sample(range(4, 116, 4), 4) for _ in range(80))]
+    texts = [[other[i] if i in at else w for i, w in enumerate(base)] + [word()] for at in changes]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    met, across = [], near_dedup._across
+
+    def watched(*a):
+        out = across(*a)
+        met.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_across", watched)
+    got = near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    want = sorted(brute_components(rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert sum(c == 0 for _, _, c in want) > 200 and sum(met) <= len(rows), met
+
+
 def test_near_duplicates_edges(spark):
     rows = [(5, None), (6, ""), (7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, "A  B c D e f"), (None, "alone and without id")]
     got = near_dedup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
