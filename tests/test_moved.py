@@ -50,3 +50,8 @@ def broadcasts(spark, query):
 @pytest.mark.parametrize("query", ["hops_depth1", "hops_depth2", "level_stats"])
 def test_trace_moves_a_transaction_once_a_level(spark, query):
     assert shuffled(spark, query) < 250
+
+
+@pytest.mark.parametrize("query", ["seed_summary", "cluster_summary", "cluster_outflow", "outflow_total", "entity_outflow", "entity_month", "top_destinations"])
+def test_trace_sends_no_table_to_the_driver(spark, query):
+    assert not broadcasts(spark, query)  # 16 to 18 tables of a trace before
