@@ -55,3 +55,8 @@ def test_trace_moves_a_transaction_once_a_level(spark, query):
 @pytest.mark.parametrize("query", ["seed_summary", "cluster_summary", "cluster_outflow", "outflow_total", "entity_outflow", "entity_month", "top_destinations"])
 def test_trace_sends_no_table_to_the_driver(spark, query):
     assert not broadcasts(spark, query)  # 16 to 18 tables of a trace before
+
+
+@pytest.mark.parametrize("query", ["change_labels", "output_label_counts", "common_input_clusters"])
+def test_lines_move_once_as_numbers(spark, query):
+    assert shuffled(spark, query) < 60  # 194 to 299 before
