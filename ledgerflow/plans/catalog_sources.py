@@ -42,9 +42,8 @@ def reveal_matches(spark, d):
 
 
 def decoded_inputs(spark, d):
-    ledger = decoded.ledger_of(decoded.read_blocks(spark, encoded.decoded_blocks(spark, d)))
-    plain = ledger.tx.where("NOT is_coinbase").select("txid")
-    return ledger.tx_in.join(plain, "txid", "left_semi").select("txid", "in_index", "address", "type", "sats")
+    blocks = decoded.without_coinbases(decoded.read_blocks(spark, encoded.decoded_blocks(spark, d)))
+    return decoded.ledger_of(blocks).tx_in.select("txid", "in_index", "address", "type", "sats")
 
 
 def decoded_outputs(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.operators.ledger import Ledger
@@ -19,6 +19,15 @@ def _sats(value):
     return F.coalesce((value * F.lit(100_000_000)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def _is_coinbase(t: Column) -> Column:
+    return F.exists(t["vin"], lambda v: v["coinbase"].isNotNull())
+
+
+def without_coinbases(blocks: DataFrame) -> DataFrame:
+    """Blocks without their coinbase transactions, which a block tells by itself; places in the block close up."""
+    return blocks.withColumn("tx", F.filter("tx", lambda t: ~_is_coinbase(t)))
+
+
 def ledger_of(blocks: DataFrame) -> Ledger:
     """Tables of BLOCK rows. A transaction is a coinbase if any input says so; inputs without an address keep their row."""
     flat = blocks.select("height", "time", F.posexplode("tx").alias("tx_index", "t"))
@@ -27,7 +36,7 @@ def ledger_of(blocks: DataFrame) -> Ledger:
         "height",
         "tx_index",
         "time",
-        F.exists("t.vin", lambda v: v["coinbase"].isNotNull()).alias("is_coinbase"),
+        _is_coinbase(F.col("t")).alias("is_coinbase"),
         F.size("t.vin").alias("n_in"),
         F.size("t.vout").alias("n_out"),
     )

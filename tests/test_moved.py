@@ -1,8 +1,12 @@
 """What the ledger queries move between executors and send to the driver, on the smallest tables."""
 
+import json
+
 import pytest
+from chain import coinbase, tx
 
 import __spark_entry__ as entry
+from ledgerflow.sources import decoded
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,3 +64,16 @@ def test_trace_sends_no_table_to_the_driver(spark, query):
 @pytest.mark.parametrize("query", ["change_labels", "output_label_counts", "common_input_clusters"])
 def test_lines_move_once_as_numbers(spark, query):
     assert shuffled(spark, query) < 60  # 194 to 299 before
+
+
+@pytest.mark.parametrize("query", ["decoded_inputs", "decoded_outputs", "decoded_transactions"])
+def test_blocks_are_made_of_numbers(spark, query):
+    assert shuffled(spark, query) < 90
+
+
+def test_coinbases_are_left_out_by_block(spark, tmp_path):
+    chain = {1: [coinbase("cb", [("A", 50.0)]), tx("a", [("A", 3.0), ("B", 1.0)], [("C", 3.9)])], 2: [coinbase("cb2", [("A", 50.0)])]}
+    path = tmp_path / "blocks.json"
+    path.write_text("\n".join(json.dumps({"hash": f"{h:064d}", "height": h, "time": h, "tx": txs}) for h, txs in chain.items()))
+    rows = decoded.ledger_of(decoded.without_coinbases(decoded.read_blocks(spark, str(path)))).tx_in
+    assert sorted((r["txid"], r["in_index"], r["address"]) for r in rows.collect()) == [("a", 0, "A"), ("a", 1, "B")]
