@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import scripts as S
-from ledgerflow.functions.reveal import revealed_hashes
 from ledgerflow.operators import utxo as U
 from ledgerflow.plans.catalog import LEDGER_SQL, SCRIPT_SQL
 from ledgerflow.sources import decoded, encoded, rawblocks, sanctions, snapshot
@@ -25,12 +24,12 @@ def raw_range_metrics(spark, d):
 
 
 def spend_forms(spark, d):
-    rows = revealed_hashes(rawblocks.raw_inputs(encoded.raw_blocks(spark, d)))
+    rows = rawblocks.revealed_in(encoded.raw_blocks(spark, d))
     return rows.groupBy("form", F.octet_length("key_hash").alias("width")).agg(F.count("*").alias("hashes"), F.count_distinct("key_hash").alias("distinct_hashes"))
 
 
 def witness_programs(spark, d):
-    rows = revealed_hashes(rawblocks.raw_inputs(encoded.raw_blocks(spark, d))).where(F.octet_length("key_hash") == 32)
+    rows = rawblocks.revealed_in(encoded.raw_blocks(spark, d)).where(F.octet_length("key_hash") == 32)
     return rows.groupBy(F.lower(F.hex("key_hash")).alias("program")).agg(F.count("*").alias("spends"), F.min("height").alias("first_height"))
 
 

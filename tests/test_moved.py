@@ -2,11 +2,13 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from chain import coinbase, tx
 
 import __spark_entry__ as entry
-from ledgerflow.sources import decoded
+from ledgerflow.functions import reveal
+from ledgerflow.sources import decoded, rawblocks
 
 DATA = "/root/testdata/sf0.001"
 
@@ -77,3 +79,29 @@ def test_coinbases_are_left_out_by_block(spark, tmp_path):
     path.write_text("\n".join(json.dumps({"hash": f"{h:064d}", "height": h, "time": h, "tx": txs}) for h, txs in chain.items()))
     rows = decoded.ledger_of(decoded.without_coinbases(decoded.read_blocks(spark, str(path)))).tx_in
     assert sorted((r["txid"], r["in_index"], r["address"]) for r in rows.collect()) == [("a", 0, "A"), ("a", 1, "B")]
+
+
+@pytest.mark.parametrize("query", ["witness_programs", "spend_forms"])
+def test_blocks_are_read_and_hashed_by_one_worker_a_task(spark, query):
+    plan = entry.queries()[query](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # 2 before
+
+
+def test_a_large_block_leaves_the_worker_in_parts():
+    raw = b"\0" * 80 + b"\2" + _transaction(1) + _transaction(12_000)
+    schema = pa.schema([("height", pa.int32()), ("tx_index", pa.int32()), ("in_index", pa.int32()), ("script_sig", pa.binary()), ("witness", pa.list_(pa.binary()))])
+    blocks = pa.RecordBatch.from_pylist([{"height": 7, "raw": raw}], pa.schema([("height", pa.int32()), ("raw", pa.binary())]))
+    parts = list(rawblocks._in_parts(rawblocks._inputs(iter([blocks])), schema))
+    assert max(p.num_rows for p in parts) <= rawblocks.ROWS and sum(p.num_rows for p in parts) == 12_000
+    with pytest.raises(ValueError, match="ends early"):
+        list(rawblocks.block_inputs(raw[:-1]))
+
+
+def _transaction(inputs):
+    return b"\2\0\0\0" + b"\xfd" + inputs.to_bytes(2, "little") + (b"\7" * 36 + b"\0" + b"\xff" * 4) * inputs + b"\1" + b"\0" * 8 + b"\0" + b"\0" * 4
+
+
+def test_a_compressed_key_is_hashed_once_a_kind_of_address(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(reveal, "hash160", lambda data: hashed.append(data) or bytes(20))
+    assert len(reveal.of_key(b"\2" + b"\1" * 32)) == 2 and len(hashed) == 2  # 3 before
